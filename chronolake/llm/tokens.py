@@ -102,11 +102,12 @@ def _piece(data: np.ndarray, cuts: np.ndarray, is_separator: np.ndarray):
     return mix(raw + (ends - starts).astype(np.uint64) * _LENGTH), starts, ends
 
 
-def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE, marks: np.ndarray | None = None) -> Iterator[tuple]:
     """Yields (first row, end row, word hashes, word offsets by row) for runs of rows of about PIECE_BYTES.
 
     Letters A-Z count as a-z.  A longer text is hashed in pieces that end at a separator, so only its
-    hashes are held at once.
+    hashes are held at once.  With marks, a table of bytes, the number of marked bytes before each word
+    comes as a fifth item.
     """
     data, offsets = column_bytes(column)
     row, rows = 0, len(offsets) - 1
@@ -114,20 +115,24 @@ def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE) -> Iterator[tup
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1)
         end = min(end, rows)
         lo, hi = int(offsets[row]), int(offsets[end])
-        if hi - lo <= PIECE_BYTES:
-            at = offsets[row : end + 1] - lo
-            hashes, starts, _ = _piece(data[lo:hi], at, is_separator)
-            yield row, end, hashes, np.searchsorted(starts, at)
-        else:
-            found = []
-            while lo < hi:
-                cut = min(hi, lo + PIECE_BYTES)
-                while cut < hi and not is_separator[data[cut]]:
-                    cut += 1
-                found.append(_piece(data[lo:cut], np.zeros(0, np.int64), is_separator)[0])
-                lo = cut
-            hashes = np.concatenate(found)
-            yield row, end, hashes, np.array([0, len(hashes)])
+        cuts = offsets[row : end + 1] - lo
+        found, seen, marked = [], [], 0
+        while True:
+            cut = min(hi, lo + PIECE_BYTES) if hi - lo > PIECE_BYTES else hi
+            while cut < hi and not is_separator[data[cut]]:
+                cut += 1
+            hashes, starts, _ = _piece(data[lo:cut], cuts if end - row > 1 else cuts[:0], is_separator)
+            found.append(hashes)
+            if marks is not None:
+                before = np.cumsum(marks[data[lo:cut]])
+                seen.append((before[starts] if len(before) else starts) + marked)
+                marked += int(before[-1]) if len(before) else 0
+            if cut == hi:
+                break
+            lo = cut
+        hashes = np.concatenate(found)
+        at = np.searchsorted(starts, cuts) if end - row > 1 else np.array([0, len(hashes)])
+        yield (row, end, hashes, at) if marks is None else (row, end, hashes, at, np.concatenate(seen))
         row = end
 
 
