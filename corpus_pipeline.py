@@ -1,17 +1,54 @@
-"""The corpus pipeline: five operators, each on all that its predecessor kept."""
+"""The corpus pipeline: five operators, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  Between stages the rows are written as
+Parquet in the shared folder and read again.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import jaccard_join
+from chronolake.llm import decontaminate, exact_dedup, jaccard_join, mixing, scratch, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that the noisy-or model, learned from their labels, predicts toxic."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the least doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the least doc_id stays."""
+    return jaccard_join.keep_one_of_each(docs, k=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents from the domain-language-source tree by target weights: (doc_id, domain, lang, source, n_tokens, copies)."""
+    return mixing.mixed(docs)
+
 
-STAGES = [("ngram_jaccard_join", lambda spark, docs, sf_dir: jaccard_join.keep_one_of_each(docs, k=5, percent=80))]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", keep_one_of_similar),
+    ("benchmark_decontamination", drop_leaks),
+    ("source_mixing", mix_sources),
+]
+#: Toxicity and similarity are learned and searched for, which SQL can't express; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
