@@ -84,8 +84,8 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _piece(data: np.ndarray, cuts: np.ndarray, is_separator: np.ndarray):
-    """Word hashes, starts and ends of one piece; a word also ends at every cut."""
+def _piece(data: np.ndarray, cuts: np.ndarray, is_separator: np.ndarray, stem: int = 0):
+    """Word hashes, starts and stem hashes of one piece; a word also ends at every cut."""
     inside = ~is_separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -98,16 +98,18 @@ def _piece(data: np.ndarray, cuts: np.ndarray, is_separator: np.ndarray):
     up, down = _tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _LENGTH), starts, ends
+    def hashed(ends: np.ndarray) -> np.ndarray:
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
 
+    return hashed(ends), starts, hashed(np.minimum(ends, starts + stem)) if stem else None
 
-def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE, marks: np.ndarray | None = None) -> Iterator[tuple]:
+
+def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE, marks: np.ndarray | None = None, stem: int = 0) -> Iterator[tuple]:
     """Yields (first row, end row, word hashes, word offsets by row) for runs of rows of about PIECE_BYTES.
 
     Letters A-Z count as a-z.  A longer text is hashed in pieces that end at a separator, so only its
     hashes are held at once.  With marks, a table of bytes, the number of marked bytes before each word
-    comes as a fifth item.
+    comes as a fifth item; with stem, the hashes of each word's first stem bytes come last.
     """
     data, offsets = column_bytes(column)
     row, rows = 0, len(offsets) - 1
@@ -116,13 +118,14 @@ def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE, marks: np.ndarr
         end = min(end, rows)
         lo, hi = int(offsets[row]), int(offsets[end])
         cuts = offsets[row : end + 1] - lo
-        found, seen, marked = [], [], 0
+        found, seen, stems, marked = [], [], [], 0
         while True:
             cut = min(hi, lo + PIECE_BYTES) if hi - lo > PIECE_BYTES else hi
             while cut < hi and not is_separator[data[cut]]:
                 cut += 1
-            hashes, starts, _ = _piece(data[lo:cut], cuts if end - row > 1 else cuts[:0], is_separator)
+            hashes, starts, short = _piece(data[lo:cut], cuts if end - row > 1 else cuts[:0], is_separator, stem)
             found.append(hashes)
+            stems.append(short)
             if marks is not None:
                 before = np.cumsum(marks[data[lo:cut]])
                 seen.append((before[starts] if len(before) else starts) + marked)
@@ -132,7 +135,7 @@ def words(column: pa.Array, is_separator: np.ndarray = BY_SPACE, marks: np.ndarr
             lo = cut
         hashes = np.concatenate(found)
         at = np.searchsorted(starts, cuts) if end - row > 1 else np.array([0, len(hashes)])
-        yield (row, end, hashes, at) if marks is None else (row, end, hashes, at, np.concatenate(seen))
+        yield row, end, hashes, at, *([np.concatenate(seen)] if marks is not None else []), *([np.concatenate(stems)] if stem else [])
         row = end
 
 

@@ -1,12 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences; a sentence is toxic with a probability that is logistic in its words,
-and a document is toxic unless all of its sentences are harmless (noisy-or).  Only documents are labelled;
+A document is a bag of sentences; a sentence is toxic with a probability that is logistic in its words and
+their stems (first STEM bytes), and a document is toxic unless all of its sentences are harmless (noisy-or).  Only documents are labelled;
 the weights maximise the likelihood of their labels, and then also tell which sentences offend.
 
 The weights are learned from a bounded sample of labelled documents: SAMPLE[c] rows of class c at most,
-those with the least hash of their id.  The words that get a weight are the VOCABULARY whose document
-counts in the sample speak most for toxicity; Spark counts them.
+those with the least hash of their id; equal texts count once.  The words and stems that get a weight are
+the VOCABULARY whose document counts in the sample tell most for toxicity; Spark counts them.
 """
 
 from __future__ import annotations
@@ -26,9 +26,12 @@ from .scratch import written
 
 SAMPLE = {0: 16_000, 1: 8_000}
 VOCABULARY = 512
+STEM = 5
 LEAST_DOCUMENTS = 3
 THRESHOLD = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+")
+#: Keeps the hash of a stem apart from that of the same word.
+AS_STEM = np.uint64(0xA5A5A5A55A5A5A5A)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 
@@ -37,8 +40,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic documents, other documents) of each batch."""
     for batch in batches:
         label = batch.column(1).to_numpy()
-        for row, end, hashes, at in tokens.words(batch.column(0), tokens.BY_PUNCTUATION):
-            sets = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for row, end, hashes, at, stems in tokens.words(batch.column(0), tokens.BY_PUNCTUATION, stem=STEM):
+            sets = [np.unique(np.concatenate((hashes[a:b], stems[a:b] ^ AS_STEM))) for a, b in zip(at[:-1], at[1:], strict=True)]
             word = np.concatenate(sets)
             toxic = np.repeat(label[row:end], [len(s) for s in sets])
             word, which = np.unique(word, return_inverse=True)
@@ -70,13 +73,17 @@ class Lexicon:
 
 def _bags(texts: pa.Array, lexicon: Lexicon) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, sentences by row, row of each hit, sentence of each hit, word of each hit)."""
-    for row, end, hashes, at, sentence in tokens.words(texts, tokens.BY_PUNCTUATION, _ENDS):
+    for row, end, hashes, at, sentence, stems in tokens.words(texts, tokens.BY_PUNCTUATION, _ENDS, STEM):
         first = np.concatenate(([True], sentence[1:] != sentence[:-1])) if len(sentence) else np.zeros(0, bool)
         starts = at[:-1][at[:-1] < at[1:]]
         first[starts] = True
         number = np.cumsum(first)
         total = np.concatenate(([0], number))
         hit, word = lexicon.find(hashes)
+        stem_hit, stem = lexicon.find(stems ^ AS_STEM)
+        hit, word = np.concatenate((hit, stem_hit)), np.concatenate((word, stem))
+        order = np.argsort(hit, kind="stable")
+        hit, word = hit[order], word[order]
         yield row, end, total[at[1:]] - total[at[:-1]], np.searchsorted(at, hit, "right") - 1, number[hit], word
 
 
@@ -110,7 +117,7 @@ class NoisyOr:
         return -np.expm1(harmless)
 
 
-def fit_noisy_or(lexicon: Lexicon, label: np.ndarray, sentences: np.ndarray, of_row: np.ndarray, sentence: np.ndarray, word: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 0.02) -> NoisyOr:
+def fit_noisy_or(lexicon: Lexicon, label: np.ndarray, sentences: np.ndarray, of_row: np.ndarray, sentence: np.ndarray, word: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 0.005) -> NoisyOr:
     """Maximises the weighted log likelihood of the document labels by Adam.  Sentence numbers ascend over all rows."""
     rows, size = len(label), len(lexicon.words)
     new = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if len(sentence) else np.zeros(0, np.int64)
@@ -124,8 +131,8 @@ def fit_noisy_or(lexicon: Lexicon, label: np.ndarray, sentences: np.ndarray, of_
         harmless = -plain * np.logaddexp(0, x[-1]) - np.bincount(row, np.logaddexp(0, logits), rows)
         harmless = np.minimum(harmless, -1e-9)
         # d(log likelihood) / d(harmless)
-        up = weight * np.where(label == 1, -1 / np.expm1(-harmless), 1.0)
-        by_sentence = -up[row] / (1 + np.exp(-logits))
+        up = weight * np.where(label == 1, -1 / np.expm1(np.minimum(-harmless, 500)), 1.0)
+        by_sentence = -up[row] / (1 + np.exp(np.clip(-logits, -500, 500)))
         gradient = np.append(np.bincount(word, by_sentence[group], size), by_sentence.sum() - (up * plain).sum() / (1 + np.exp(-x[-1])))
         gradient[:-1] -= ridge * x[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
@@ -141,13 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     for label, most in SAMPLE.items():
         one = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = one if ids is None else ids.union(one)
-    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text", "label"), "sample")  # sum(SAMPLE) ids at most
+    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text", "label").dropDuplicates(), "sample")  # sum(SAMPLE) ids at most
     counts = sample.mapInArrow(_word_counts, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     taken = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = taken.get(1, 0), taken.get(0, 0)
-    ratio = F.log((F.col("t") + 0.5) / (ones + 1)) - F.log((F.col("o") + 0.5) / (zeros + 1))
-    best = counts.where(F.col("t") >= LEAST_DOCUMENTS).withColumn("z", ratio / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5)))
-    best = best.where("z > 2").orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").toPandas()
+    share = (F.col("t") + 0.5) / (ones + 1)
+    tells = share * F.log(share / ((F.col("o") + 0.5) / (zeros + 1)))
+    best = counts.where(F.col("t") >= LEAST_DOCUMENTS).select("word", tells.alias("tells")).where("tells > 0")
+    best = best.orderBy(F.desc("tells"), "word").limit(VOCABULARY).select("word").toPandas()
     lexicon = Lexicon.of(best["word"].to_numpy(np.int64).view(np.uint64))
     if not len(lexicon.words):
         return NoisyOr(lexicon, np.zeros(0), -7.0)
