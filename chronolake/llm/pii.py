@@ -91,8 +91,8 @@ def labelled_table(rows: int = 300, seed: int = 7) -> list[list[tuple[str, str]]
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 9)))
     host = lambda: f"{word()}{r.choice(['', number(1)])}.{word()}.{r.choice(['com', 'org', 'net'])}"
     personal = [
-        lambda: ("email", [f"{word()}{r.choice(['', '.' + number(2), '_' + word()])}@{host()}"]),
-        lambda: ("email", [f"{word()}{r.choice(['(at)', '[at]'])}{host()}"]),
+        lambda: ("email", [f"{word()}{r.choice(['', '.' + number(2), '_' + word(), '.' + word()])}@{host()}"]),
+        lambda: ("email", [f"{word()}{r.choice(['', '.' + word()])}{r.choice(['(at)', '[at]'])}{host()}"]),
         lambda: ("ip", [".".join(str(r.randint(0, 255)) for _ in range(4))]),
         lambda: ("card", [number(16)]),
         lambda: ("card", [number(4) for _ in range(4)]),

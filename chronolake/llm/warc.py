@@ -112,8 +112,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return written(rows.mapInArrow(_writer(folder), MANIFEST), "manifest")
 
 
-def _blocks(stream, length: int) -> Iterator[bytes]:
-    """The inflated bytes of one gzip member, in parts of CHUNK_BYTES at most."""
+def _blocks(stream, length: int, most: int) -> Iterator[bytes]:
+    """The inflated bytes of one gzip member, in parts of most bytes."""
     gz = zlib.decompressobj(31)
     while length and not gz.eof:
         data = stream.read(min(length, 1 << 16))
@@ -121,7 +121,7 @@ def _blocks(stream, length: int) -> Iterator[bytes]:
         if not data:
             raise EOFError("an archive ends within a record")
         while data:
-            yield gz.decompress(data, CHUNK_BYTES)
+            yield gz.decompress(data, most)
             data = gz.unconsumed_tail
     yield gz.flush()
 
@@ -139,48 +139,52 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return {k.decode().lower(): v.strip().decode() for k, _, v in (line.partition(b":") for line in lines[1:])}
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(chunk_bytes: int):
     schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("chunk", pa.int64()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("data", pa.binary())])
-    name = stream = None
-    rows, held = [], 0
-    for batch in batches:
-        for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if archive != name:
-                files, path = fs.FileSystem.from_uri(archive)
-                name, stream = archive, files.open_input_file(path)
-            stream.seek(offset)
-            blocks, data = _blocks(stream, length), bytearray()
-            head = _fields(_head(data, blocks))
-            left = int(head["content-length"])
-            http = _head(data, blocks)
-            left -= sum(len(x) + 2 for x in http) + 2
-            digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-            fixed = (archive, offset, page_of(head["warc-record-id"]), head["warc-type"], page_of(head.get("warc-refers-to")), head.get("warc-target-uri"))
-            sha1, seen, chunk = hashlib.sha1(), 0, 0
-            while True:
-                while len(data) < min(left, CHUNK_BYTES) and (more := next(blocks, None)) is not None:
-                    data += more
-                part = bytes(data[: min(left, CHUNK_BYTES)])
-                del data[: len(part)]
-                left -= len(part)
-                seen += len(part)
-                sha1.update(part)
-                rows.append((*fixed, chunk, seen, sha1.hexdigest(), int(head["x-payload-length"]), digest, part))
-                held += len(part) + 300
-                chunk += 1
-                if held > 8 * CHUNK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
-                if left <= 0:
-                    break
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def read_archives(manifest: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = stream = None
+        rows, held = [], 0
+        for batch in batches:
+            for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if archive != name:
+                    files, path = fs.FileSystem.from_uri(archive)
+                    name, stream = archive, files.open_input_file(path)
+                stream.seek(offset)
+                blocks, data = _blocks(stream, length, chunk_bytes), bytearray()
+                head = _fields(_head(data, blocks))
+                left = int(head["content-length"])
+                http = _head(data, blocks)
+                left -= sum(len(x) + 2 for x in http) + 2
+                digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+                fixed = (archive, offset, page_of(head["warc-record-id"]), head["warc-type"], page_of(head.get("warc-refers-to")), head.get("warc-target-uri"))
+                sha1, seen, chunk = hashlib.sha1(), 0, 0
+                while True:
+                    while len(data) < min(left, chunk_bytes) and (more := next(blocks, None)) is not None:
+                        data += more
+                    part = bytes(data[: min(left, chunk_bytes)])
+                    del data[: len(part)]
+                    left -= len(part)
+                    seen += len(part)
+                    sha1.update(part)
+                    rows.append((*fixed, chunk, seen, sha1.hexdigest(), int(head["x-payload-length"]), digest, part))
+                    held += len(part) + 300
+                    chunk += 1
+                    if held > 8 * CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, held = [], 0
+                    if left <= 0:
+                        break
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives in a manifest.  A revisit has one empty chunk; its length and digest are those in its header."""
     places = manifest.repartition("archive").sortWithinPartitions("archive", "offset")
-    return places.select("archive", "offset", "length").mapInArrow(_reader, CHUNKS)
+    return places.select("archive", "offset", "length").mapInArrow(_reader(chunk_bytes), CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
