@@ -1,4 +1,6 @@
 """All registered queries by name, and their SQL for the oracle."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from chronolake.plans.oracle import ORACLE
+from chronolake.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
