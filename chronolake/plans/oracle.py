@@ -202,3 +202,23 @@ _DIRECTORY = f"WITH {TREES} SELECT k, CASE WHEN contains(path, '/') THEN regexp_
 ORACLE["directory_ids"] = _DIRECTORY
 ORACLE["shared_directories"] = f"SELECT id, count(*) AS uses FROM ({_DIRECTORY}) GROUP BY 1"
 ORACLE["similarity_scores"] = "WITH p AS (SELECT p_partkey, p_name n, 'small red widget' w FROM part) SELECT p_partkey, floor(100 * len(list_filter(range(1, 1 + least(length(n), length(w))), lambda i: n[i] = w[i])) / greatest(length(n), length(w)) + 0.5)::INT AS similarity FROM p"
+
+_TEXTS = f"""{COMMITS}, texts AS (SELECT k, tree_sha, parents, author_name, author_email, epoch(author_date)::BIGINT s, message, 'tree ' || tree_sha || chr(10) || array_to_string(list_transform(parents, lambda p: 'parent ' || sha1('commit ' || p) || chr(10)), '') ||
+ 'author ' || author_name || ' <' || author_email || '> ' || epoch(author_date)::BIGINT || ' +0000' || chr(10) || 'committer ' || author_name || ' <' || author_email || '> ' || epoch(author_date)::BIGINT || ' +0000' || chr(10) || chr(10) || message AS raw FROM commits)"""
+_COMMIT_HEADER = "encode('commit ' || strlen(raw)) || '\\x00'::BLOB || encode(raw)"
+ORACLE |= {
+    "commit_ids": f"WITH {_TEXTS} SELECT k, sha1({_COMMIT_HEADER}) AS id FROM texts",
+    "commit_shred": f"WITH {_TEXTS} SELECT k, tree_sha AS tree, array_to_string(list_transform(parents, lambda p: sha1('commit ' || p)), ',') AS parents, author_name, author_email, s * 1000 AS author_ms, message, FALSE AS is_signed FROM texts",
+    "message_check": "SELECT 'no-blank-line' AS fault, count(*) AS commits FROM orders",
+    "message_cleanup": f"WITH {COMMITS} SELECT k, replace(message, chr(10), chr(10) || chr(10)) AS message FROM commits",
+    "message_trailers": f"WITH {COMMITS} SELECT k, author_name AS reviewer, k::VARCHAR AS issue FROM commits",
+    "refspec_expand": f"WITH {REFS} SELECT name, 'refs/remotes/up/' || substring(name, 12) AS mapped FROM refs WHERE name LIKE 'refs/heads/%'",
+    "lsn_order": f"WITH {LOG} SELECT version, (epoch_us(ts) // 1000) * 65536 + version % 65536 AS lsn FROM log",
+    "search_all": f"WITH {COMMITS}, {REFS}, x AS (SELECT 'commit' AS kind, left(sha, 7) AS id, {_SUBJECT} AS title FROM commits WHERE contains(lower(message), 'nation_1') OR contains(lower(author_name), 'nation_1') UNION ALL SELECT {_KIND}, {_SHORT}, name FROM refs WHERE regexp_matches(name, '^refs/(heads|tags)/') AND contains(lower(name), 'nation_1')) SELECT * FROM x ORDER BY kind, title, id LIMIT 1000",
+    "mirror_plan": f"WITH {REFS} SELECT name, CASE target % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'skip' ELSE 'update' END AS action FROM refs",
+    "log_page": f"WITH {LOG} SELECT version, ref_name, new_sha FROM log WHERE version > {q.VERSION} ORDER BY version LIMIT 50",
+    "working_tree_status": f"WITH {TREES} SELECT k, path, CASE WHEN path LIKE '%.go' THEN 'D' WHEN path LIKE '%.py' THEN 'M' END AS staged, CASE WHEN path LIKE '%.md' THEN 'D' WHEN path LIKE '%.ts' THEN 'M' END AS unstaged FROM trees WHERE regexp_matches(path, '\\.(go|py|md|ts)$') UNION ALL SELECT k, 'new/' || path, NULL, '??' FROM trees WHERE path LIKE '%.rs'",
+    "tag_peel": f"WITH {REFS} SELECT name, 'tag-' || target_sha AS target, target_sha AS peeled FROM refs WHERE name LIKE 'refs/tags/%'",
+    "ref_as_of": f"WITH {LOG} SELECT 'refs/heads/u' || e.user_id AS ref_name, e.event_id + 1 AS version, l.new_sha FROM events e ASOF JOIN log l ON l.ref_name = 'refs/heads/u' || e.user_id AND e.event_id + 1 >= l.version WHERE e.event_type = 'click'",
+    "bloom_candidates": f"WITH {FILES} SELECT path, count(*) AS files FROM files GROUP BY path HAVING count(*) > 20",
+}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolake.functions import lines, text
-from chronolake.operators import access, dag, history, ref_log, storage, trees
+from chronolake.functions import lines, messages, text
+from chronolake.operators import access, dag, history, ref_log, search, storage, trees
 from chronolake.sources import lake
 from chronolake.streaming import changes
 
@@ -232,10 +232,10 @@ simple("manifest_totals", lambda s, d: lake.files(s, d).groupBy("change_type").a
 
 @query
 def snapshot_chain(s, d):
-    """A snapshot for each batch of changes, with the one before it; there are few snapshots."""
+    """A snapshot for each batch of changes, with that of the batch before; batch numbers have no gaps, so an equi-join links them."""
     batches = changes.batches(lake.change_events(s, d), 100)
     rows = batches.select("batch", "events", (F.col("last_ms") * 1000 + F.col("batch") % 1000).alias("snapshot_id"))
-    return rows.withColumn("parent_id", F.lag("snapshot_id").over(Window.partitionBy(F.lit(0)).orderBy("batch")))
+    return rows.join(rows.select((F.col("batch") + 1).alias("batch"), F.col("snapshot_id").alias("parent_id")), "batch", "left")
 
 
 # reviews and requests
@@ -281,3 +281,59 @@ simple("unified_diff", lambda s, d: _pairs(s, d).select("doc_id", lines.unified_
 simple("word_diff", lambda s, d: _pairs(s, d).select("doc_id", lines.words_diff("text", "new").alias("diff")))
 simple("content_merge", lambda s, d: _pairs(s, d).select("doc_id", lines.merged("text", "new", F.concat("text", F.lit("\nlast"))).alias("m")).select("doc_id", "m.merged", "m.conflict"))
 simple("blame_lines", lambda s, d: lines.blame(_pairs(s, d).select("doc_id", F.lit(1).alias("version"), "text").union(_pairs(s, d).select("doc_id", F.lit(2).alias("version"), F.col("new").alias("text"))), "doc_id", "version", "text"))
+
+
+# commit texts and messages
+def _texts(s, d):
+    """Each commit as its text."""
+    c = lake.commits(s, d)
+    person = F.concat("author_name", F.lit(" <"), "author_email", F.lit("> "), F.unix_timestamp(F.col("author_date").cast("timestamp")).cast("string"), F.lit(" +0000"))
+    shas = F.transform("parents", lambda p: F.sha1(F.concat(F.lit("commit "), p.cast("string")).cast("binary")))
+    return c.select("k", messages.commit_text(F.col("tree_sha"), shas, person, person, F.col("message")).alias("raw"))
+
+
+simple("commit_ids", lambda s, d: _texts(s, d).select("k", text.object_id("commit", F.col("raw").cast("binary")).alias("id")))
+simple("commit_shred", lambda s, d: _texts(s, d).select("k", messages.commit_fields(F.col("raw")).alias("f")).select("k", "f.tree", F.array_join("f.parents", ",").alias("parents"), "f.author_name", "f.author_email", "f.author_ms", "f.message", "f.is_signed"))
+simple("message_check", lambda s, d: lake.commits(s, d).groupBy(messages.valid_message(F.col("message")).alias("fault")).agg(F.count("*").alias("commits")))
+simple("message_cleanup", lambda s, d: lake.commits(s, d).select("k", messages.cleaned(F.concat(F.lit("\n# note\n"), F.regexp_replace("message", "\n", "  \n\n\n\n"), F.lit("\n\n"))).alias("message")))
+simple("message_trailers", lambda s, d: lake.commits(s, d).select("k", messages.trailers(F.concat("message", F.lit("\n\nReviewed-by: "), "author_name", F.lit("\nIssue: "), F.col("k").cast("string"))).alias("t")).select("k", F.col("t")[0]["value"].alias("reviewer"), F.col("t")[1]["value"].alias("issue")))
+simple("refspec_expand", lambda s, d: lake.refs(s, d).select("name", messages.refspec("+refs/heads/*:refs/remotes/up/*", F.col("name")).alias("mapped")).where("mapped is not null"))
+simple("lsn_order", lambda s, d: lake.ref_log(s, d).select("version", messages.lsn(F.col("ts"), F.col("version")).alias("lsn")))
+simple("search_all", lambda s, d: search.search(lake.commits(s, d), lake.refs(s, d), "nation_1", most=1000))
+simple("mirror_plan", lambda s, d: search.mirror_plan(lake.refs(s, d).select("name", F.col("target_sha").alias("sha")), lake.refs(s, d).where("target % 3 > 0").select("name", F.when(F.col("target") % 3 == 1, F.col("target_sha")).otherwise("old").alias("sha"))))
+simple("log_page", lambda s, d: search.changes_since(lake.ref_log(s, d), VERSION, 50).select("version", "ref_name", "new_sha"))
+
+
+@query
+def working_tree_status(s, d):
+    """A tree as head; the index drops .go and changes .py paths; the work tree drops .md, changes .ts and adds paths."""
+    head = lake.trees(s, d).select("k", "path", "blob")
+    index = head.where("path not like '%.go'").withColumn("blob", F.when(F.col("path").endswith(".py"), F.concat("blob", F.lit("i"))).otherwise(F.col("blob")))
+    work = index.where("path not like '%.md'").withColumn("blob", F.when(F.col("path").endswith(".ts"), F.concat("blob", F.lit("w"))).otherwise(F.col("blob")))
+    return search.status(head, index, work.union(head.where("path like '%.rs'").withColumn("path", F.concat(F.lit("new/"), "path"))), ["k"])
+
+
+@query
+def tag_peel(s, d):
+    """Every tag names a tag object, which names another for even targets, which names the commit."""
+    tags = lake.refs(s, d).where("name like 'refs/tags/%'")
+    inner = F.concat(F.lit("inner-"), F.col("target_sha"))
+    one = tags.select(F.concat(F.lit("tag-"), F.col("target_sha")).alias("sha"), F.when(F.col("target") % 2 == 0, inner).otherwise(F.col("target_sha")).alias("object"))
+    two = tags.select(inner.alias("sha"), F.col("target_sha").alias("object"))
+    return search.peeled(tags.select("name", F.concat(F.lit("tag-"), F.col("target_sha")).alias("target")), one.union(two))
+
+
+@query
+def ref_as_of(s, d):
+    """The sha of a user's ref at each of the user's clicks."""
+    log = lake.ref_log(s, d)
+    clicks = lake.read(s, d, "events").where("event_type = 'click'").select(F.concat(F.lit("refs/heads/u"), F.col("user_id").cast("string")).alias("ref_name"), (F.col("event_id") + 1).alias("version"))
+    return search.as_of(clicks, log, "ref_name", "version", "new_sha")
+
+
+@query
+def bloom_candidates(s, d):
+    """Paths of files that are surely or maybe hot, held exactly after the filter."""
+    hot = lake.files(s, d).groupBy("path").count().where("count > 20").select("path")
+    rows = lake.files(s, d).select("k", "path")
+    return search.maybe_in(rows, "path", search.bloom_words(hot, "path")).join(hot, "path", "left_semi").groupBy("path").agg(F.count("*").alias("files"))
