@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,16 +63,20 @@ def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0)
 def rate_limited(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """hits(key, id, ms) with allowed: a window opens at a key's first hit and again at the first hit after it has passed.
 
-    Where a window opens depends on the one before, so each key's hits are walked in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "id"])
-        start, count, out = None, 0, []
-        for ms in pdf["ms"]:
-            if start is None or ms - start >= window_ms:
-                start, count = ms, 0
-            count += 1
-            out.append(count <= limit)
-        return pdf.assign(allowed=out)[["key", "id", "ms", "allowed"]]
-
-    return hits.select("key", "id", "ms").groupBy("key").applyInPandas(run, "key long, id long, ms long, allowed boolean")
+    Where a window opens depends on the one before, so hits are walked in order; the walk streams over sorted
+    partitions and holds one batch and the state of one key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = start = None
+        count = 0
+        for pdf in batches:
+            allowed = []
+            for k, ms in zip(pdf["key"], pdf["ms"], strict=True):
+                if k != key or ms - start >= window_ms:
+                    key, start, count = k, ms, 0
+                count += 1
+                allowed.append(count <= limit)
+            yield pdf.assign(allowed=allowed)
+
+    rows = hits.select("key", "id", "ms").repartition("key").sortWithinPartitions("key", "ms", "id")
+    return rows.mapInPandas(run, "key long, id long, ms long, allowed boolean")

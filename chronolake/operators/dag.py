@@ -108,3 +108,24 @@ def resolve_symbolic(refs: DataFrame, max_depth: int = 10) -> DataFrame:
     for _ in range(max_depth):
         found = found.join(links, F.col("target") == F.col("at"), "left").select("name", F.coalesce("to", "target").alias("target"), (F.col("hops") + F.col("at").isNotNull().cast("int")).alias("hops"))
     return found.select("name", F.when(~F.col("target").startswith("refs/"), F.col("target")).alias("target"), "hops")
+
+
+def fork_point(edges: DataFrame, log: DataFrame, ref_node, node) -> DataFrame:
+    """The newest entry of log(version, node) that node descends from; else the merge bases of node and the ref."""
+    reach = ancestors_of(edges, [node]).select("node")
+    hit = log.join(reach, "node", "left_semi").orderBy(F.desc("version")).limit(1).select("node")
+    return merge_bases(edges, ref_node, node) if hit.isEmpty() else hit
+
+
+def between(edges: DataFrame, start, end) -> DataFrame:
+    """Nodes reached from end without passing start, start left out; none if start isn't reached."""
+    reach = ancestors_of(edges.where(F.col("child") != start), [end])
+    met = reach.where(F.col("node") == start).select(F.lit(True).alias("met")).limit(1)
+    return reach.where(F.col("node") != start).join(F.broadcast(met), F.lit(True), "left_semi").select("node")
+
+
+def shallow_boundary(edges: DataFrame, nodes: list, depth: int) -> DataFrame:
+    """Nodes within depth of nodes that have a parent beyond."""
+    near = ancestors_of(edges, nodes, max_depth=depth).select("node").distinct()
+    inner = edges.join(near, F.col("child") == F.col("node"), "left_semi").select(F.col("child").alias("node"), "parent")
+    return inner.join(near.select(F.col("node").alias("parent")), "parent", "left_anti").select("node").distinct()

@@ -73,11 +73,12 @@ def first_tier(wanted: DataFrame, tiers: list[tuple[str, DataFrame]]) -> DataFra
     return wanted.join(best, "key", "left").select("key", "hit.tier", "hit.value")
 
 
-def packed(objects: DataFrame, group: str, max_bytes: int) -> DataFrame:
-    """Adds pack: objects(group, id, size) in order of id are cut into packs of at most max_bytes, a larger object alone.
+def packed(objects: DataFrame, group: str, max_bytes: int, run: int = 10_000) -> DataFrame:
+    """Adds (run, pack): objects(group, id, size) in order of id are cut into packs of at most max_bytes, a larger object alone.
 
-    A pack starts where the one before is full, so sizes of one group are folded in order."""
-    rows = objects.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("id", "size"))).alias("rows"))
+    A pack starts where the one before is full, so sizes are folded in order.  Packs also end at every
+    multiple of run in id, which bounds what is folded in one task, however large a group is."""
+    rows = objects.withColumn("run", F.floor(F.col("id") / run).cast("long")).groupBy(group, "run").agg(F.array_sort(F.collect_list(F.struct("id", "size"))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("packs"))
 
     def step(acc, row):
@@ -85,8 +86,13 @@ def packed(objects: DataFrame, group: str, max_bytes: int) -> DataFrame:
         pack = acc["pack"] + cut.cast("long")
         return F.struct(pack.alias("pack"), F.when(cut, row["size"]).otherwise(acc["used"] + row["size"]).alias("used"), F.concat(acc["packs"], F.array(pack)).alias("packs"))
 
-    folded = rows.select(group, "rows", F.aggregate("rows", start, step)["packs"].alias("packs"))
-    return folded.select(group, F.explode(F.arrays_zip("rows", "packs")).alias("z")).select(group, "z.rows.id", "z.rows.size", F.col("z.packs").alias("pack"))
+    folded = rows.select(group, "run", "rows", F.aggregate("rows", start, step)["packs"].alias("packs"))
+    return folded.select(group, "run", F.explode(F.arrays_zip("rows", "packs")).alias("z")).select(group, "z.rows.id", "z.rows.size", "run", F.col("z.packs").alias("pack"))
+
+
+def pack_order(objects: DataFrame) -> DataFrame:
+    """Adds place: within each kind of objects(kind, id, size) the larger first, as deltas are sought among neighbours."""
+    return objects.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("size"), "id")))
 
 
 def chunk_ranges(objects: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:

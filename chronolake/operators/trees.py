@@ -97,3 +97,27 @@ def shared_directories(ids: DataFrame) -> DataFrame:
     """(id, uses): directories with the same entries share an id."""
     return ids.groupBy("id").agg(F.count("*").alias("uses"))
 
+
+
+def hierarchy(tree: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, directory, id, entries) of every directory of trees(keys, path, blob, mode), '' for the root, from the deepest up.
+
+    A directory's id hashes its sorted entries, subdirectories as `040000 name id`, so equal subtrees share ids."""
+    parent = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
+    files = tree.select(*keys, "path", parent(F.col("path")).alias("directory"), F.concat_ws(" ", "mode", F.substring_index("path", "/", -1), "blob").alias("entry"))
+    depth = F.when(F.col("directory") == "", 0).otherwise(F.size(F.split("directory", "/")))
+    files = files.withColumn("depth", depth)
+    deepest = files.agg(F.max("depth")).first()[0]
+    out, below = None, None
+    for level in range(deepest or 0, -1, -1):
+        entries = files.where(F.col("depth") == level).select(*keys, "directory", "entry")
+        if below is not None:
+            entries = entries.union(below.select(*keys, parent(F.col("directory")).alias("directory"), F.concat_ws(" ", F.lit("040000"), F.substring_index("directory", "/", -1), "id").alias("entry")))
+        below = entries.groupBy(*keys, "directory").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("entry")), "\n").cast("binary")).alias("id"), F.count("*").alias("entries"))
+        out = below if out is None else out.union(below)
+    return out
+
+
+def moved_directory(tree: DataFrame, old: str, new: str) -> DataFrame:
+    """The tree after a directory was renamed: every path beneath it follows."""
+    return tree.withColumn("path", F.when(F.col("path").startswith(f"{old}/"), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))).otherwise(F.col("path")))

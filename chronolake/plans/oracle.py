@@ -222,3 +222,20 @@ ORACLE |= {
     "ref_as_of": f"WITH {LOG} SELECT 'refs/heads/u' || e.user_id AS ref_name, e.event_id + 1 AS version, l.new_sha FROM events e ASOF JOIN log l ON l.ref_name = 'refs/heads/u' || e.user_id AND e.event_id + 1 >= l.version WHERE e.event_type = 'click'",
     "bloom_candidates": f"WITH {FILES} SELECT path, count(*) AS files FROM files GROUP BY path HAVING count(*) > 20",
 }
+
+ORACLE |= {
+    "commits_between": _reach(N, where=f"child <> {N // 8}") + f" SELECT DISTINCT node FROM reach WHERE node <> {N // 8} AND EXISTS (SELECT 1 FROM reach WHERE node = {N // 8})",
+    "shallow_boundary": _reach(N, M, depth="depth < 4") + " SELECT DISTINCT node FROM reach JOIN edges ON child = node WHERE parent NOT IN (SELECT node FROM reach)",
+    "fork_point": _reach(N) + " SELECT node FROM reach JOIN supplier ON s_suppkey = node ORDER BY s_suppkey DESC LIMIT 1",
+    "tree_hierarchy": f"""WITH {TREES}, f AS (SELECT k, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS directory, mode || ' ' || regexp_extract(path, '[^/]*$') || ' ' || blob AS entry FROM trees),
+ two AS (SELECT k, directory, sha1(array_to_string(list_sort(list(entry)), chr(10))) AS id, count(*) AS entries FROM f WHERE directory <> '' GROUP BY ALL),
+ one AS (SELECT k, split_part(directory, '/', 1) AS directory, sha1(array_to_string(list_sort(list('040000 ' || split_part(directory, '/', 2) || ' ' || id)), chr(10))) AS id, count(*) AS entries FROM two GROUP BY 1, 2),
+ top AS (SELECT k, entry FROM f WHERE directory = '' UNION ALL SELECT k, '040000 ' || directory || ' ' || id FROM one)
+ SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT k, '' AS directory, sha1(array_to_string(list_sort(list(entry)), chr(10))) AS id, count(*) AS entries FROM top GROUP BY k""",
+    "moved_directory": f"WITH {TREES} SELECT k, CASE WHEN path LIKE 'economy/%' THEN 'archive/' || path ELSE path END AS path FROM trees",
+    "pack_order": "SELECT lower(p_type) AS kind, p_partkey AS id, p_size::BIGINT AS size, row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_partkey)::INT AS place FROM part",
+    "default_branch": f"WITH {REFS} SELECT min(name) AS name FROM refs WHERE name LIKE 'refs/heads/%'",
+    "advertised_refs": f"WITH {REFS} SELECT 1 AS place, 'HEAD' AS name UNION ALL SELECT 1 + row_number() OVER (ORDER BY name)::INT, name FROM refs",
+    "refs_after_changes": f"WITH {REFS} SELECT CASE WHEN name LIKE 'refs/heads/nation_1%' AND name <> 'refs/heads/nation_1-0' THEN replace(name, 'nation', 'country') ELSE name END AS name, target_sha AS target FROM refs WHERE name NOT LIKE 'refs/tags/v0.%' UNION ALL SELECT 'refs/heads/main', 'x'",
+    "request_status": "SELECT conv_id AS pr, coalesce(arg_min(CASE WHEN turn % 4 = 3 THEN 'merged' END, turn) FILTER (turn % 4 = 3), arg_max(CASE WHEN turn % 4 = 3 THEN 'merged' WHEN turn % 2 = 1 THEN 'closed' ELSE 'open' END, turn)) AS status, count(*) AS updates FROM conversations GROUP BY 1",
+}

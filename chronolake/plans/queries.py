@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import lines, messages, text
-from chronolake.operators import access, dag, history, ref_log, search, storage, trees
+from chronolake.operators import access, dag, history, ref_changes, ref_log, search, storage, trees
 from chronolake.sources import lake
 from chronolake.streaming import changes
 
@@ -337,3 +337,30 @@ def bloom_candidates(s, d):
     hot = lake.files(s, d).groupBy("path").count().where("count > 20").select("path")
     rows = lake.files(s, d).select("k", "path")
     return search.maybe_in(rows, "path", search.bloom_words(hot, "path")).join(hot, "path", "left_semi").groupBy("path").agg(F.count("*").alias("files"))
+
+
+# more of the graph, trees, refs and requests
+simple("commits_between", lambda s, d: dag.between(lake.commit_parents(s, d), NODE // 8, NODE))
+simple("shallow_boundary", lambda s, d: dag.shallow_boundary(lake.commit_parents(s, d), [NODE, OTHER], 4))
+simple("fork_point", lambda s, d: dag.fork_point(lake.commit_parents(s, d), lake.read(s, d, "supplier").select(F.col("s_suppkey").alias("version"), F.col("s_suppkey").alias("node")), OTHER, NODE))
+simple("tree_hierarchy", lambda s, d: trees.hierarchy(lake.trees(s, d), ["k"]))
+simple("moved_directory", lambda s, d: trees.moved_directory(lake.trees(s, d).select("k", "path"), "economy", "archive/economy"))
+simple("pack_order", lambda s, d: storage.pack_order(lake.read(s, d, "part").select(F.lower("p_type").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))))
+simple("default_branch", lambda s, d: ref_changes.default_branch(lake.refs(s, d)))
+simple("advertised_refs", lambda s, d: ref_changes.advertised(lake.refs(s, d).select("name").union(s.createDataFrame([("HEAD",)], "name string"))))
+
+
+@query
+def refs_after_changes(s, d):
+    """Tags of version 0 deleted, branches of nation_1 renamed (one onto a name that isn't valid), and one ref put."""
+    refs = lake.refs(s, d).select("name", F.col("target_sha").alias("target"))
+    rows = ref_changes.deleted(refs, refs.where("name like 'refs/tags/v0.%'"))
+    moved = rows.where("name like 'refs/heads/nation_1%'").select("name", F.concat(F.replace("name", F.lit("nation"), F.lit("country")), F.when(F.col("name") == F.lit("refs/heads/nation_1-0"), "..").otherwise("")).alias("new_name"))
+    return ref_changes.upserted(ref_changes.renamed(rows, moved), s.createDataFrame([("refs/heads/main", "x")], "name string, target string"))
+
+
+@query
+def request_status(s, d):
+    turns = lake.read(s, d, "conversations")
+    status = F.when(F.col("turn") % 4 == 3, "merged").when(F.col("turn") % 2 == 1, "closed").otherwise("open")
+    return ref_changes.request_status(turns.select(F.col("conv_id").alias("pr"), F.col("turn").alias("id"), status.alias("status")))
