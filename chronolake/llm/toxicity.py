@@ -6,7 +6,8 @@ the weights maximise the likelihood of their labels, and then also tell which se
 
 The weights are learned from a bounded sample of labelled documents: SAMPLE[c] rows of class c at most,
 those with the least hash of their id; equal texts count once.  The words and stems that get a weight are
-the VOCABULARY whose document counts in the sample tell most for toxicity; Spark counts them.
+the VOCABULARY whose document counts in the sample tell most for toxicity; Spark counts them.  The driver
+gets the hits of those few words, and of documents without a hit only how many have so many sentences.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .scratch import written
 
 SAMPLE = {0: 16_000, 1: 8_000}
 VOCABULARY = 512
+#: A word of the vocabulary is in so many times the share of toxic documents that it has of others.
+LEAST_RATIO = 2.0
 STEM = 5
 LEAST_DOCUMENTS = 3
 THRESHOLD = 0.5
@@ -92,8 +95,8 @@ def _hits(lexicon: Lexicon):
         for batch in batches:
             for row, end, sentences, of_row, sentence, word in _bags(batch.column(0), lexicon):
                 cut = np.searchsorted(of_row, np.arange(end - row + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (sentence, word)]
-                yield pa.record_batch([batch.column(1)[row:end], pa.array(sentences.astype(np.int64)), *lists], names=["label", "sentences", "sentence", "word"])
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(t))) for x, t in ((sentence, np.int32), (word, np.int16))]
+                yield pa.record_batch([batch.column(1)[row:end], pa.array(sentences.astype(np.int32)), *lists], names=["label", "sentences", "sentence", "word"])
 
     return run
 
@@ -153,22 +156,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     taken = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = taken.get(1, 0), taken.get(0, 0)
     share = (F.col("t") + 0.5) / (ones + 1)
-    tells = share * F.log(share / ((F.col("o") + 0.5) / (zeros + 1)))
-    best = counts.where(F.col("t") >= LEAST_DOCUMENTS).select("word", tells.alias("tells")).where("tells > 0")
+    ratio = share / ((F.col("o") + 0.5) / (zeros + 1))
+    best = counts.where((F.col("t") >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO)).select("word", (share * F.log(ratio)).alias("tells"))
     best = best.orderBy(F.desc("tells"), "word").limit(VOCABULARY).select("word").toPandas()
     lexicon = Lexicon.of(best["word"].to_numpy(np.int64).view(np.uint64))
     if not len(lexicon.words):
         return NoisyOr(lexicon, np.zeros(0), -7.0)
-    # at most sum(SAMPLE) rows, with the hits of VOCABULARY words
-    bags = sample.mapInArrow(_hits(lexicon), "label int, sentences long, sentence array<long>, word array<long>").toArrow()
-    hits = [bags["sentence"].combine_chunks(), bags["word"].combine_chunks()]
-    of_row = np.repeat(np.arange(bags.num_rows), np.diff(hits[0].offsets.to_numpy()))
-    sentence, word = (h.flatten().to_numpy() for h in hits)
-    step = np.flatnonzero(np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (of_row[1:] != of_row[:-1]))))
-    sentence = np.repeat(np.arange(len(step)), np.diff(np.append(step, len(sentence))))
-    label = bags["label"].to_numpy()
-    weight = np.where(label == 1, sizes.get(1, 0) / max(ones, 1), sizes.get(0, 0) / max(zeros, 1))
-    return fit_noisy_or(lexicon, label, bags["sentences"].to_numpy(), of_row, sentence, word, weight / weight.mean())
+    bags = written(sample.mapInArrow(_hits(lexicon), "label int, sentences int, sentence array<int>, word array<short>"), "bags")
+    hits = F.size("word") > 0
+    known = bags.where(hits).toArrow()  # sum(SAMPLE) rows at most
+    plain = bags.where(~hits).groupBy("label", "sentences").agg(F.count("*").alias("n")).toArrow()
+    lists = [known[c].combine_chunks() for c in ("sentence", "word")]
+    of_row = np.repeat(np.arange(known.num_rows), np.diff(lists[0].offsets.to_numpy()))
+    sentence, word = (x.flatten().to_numpy() for x in lists)
+    new = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (of_row[1:] != of_row[:-1]))) if len(sentence) else np.zeros(0, bool)
+    label = np.concatenate((known["label"].to_numpy(), plain["label"].to_numpy()))
+    sentences = np.concatenate((known["sentences"].to_numpy(), plain["sentences"].to_numpy()))
+    weight = np.where(label == 1, sizes.get(1, 0) / max(ones, 1), sizes.get(0, 0) / max(zeros, 1)) * np.concatenate((np.ones(known.num_rows), plain["n"].to_numpy()))
+    return fit_noisy_or(lexicon, label, sentences, of_row, np.cumsum(new), word, weight * (ones + zeros) / weight.sum())
 
 
 def _scorer(model: NoisyOr):
