@@ -22,12 +22,18 @@ REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ://; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:(?!://)[\s\S])*://([^/?#]*)", 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_after_scheme(url), "^[^/?#]*", 0), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:(?!://)[\s\S])*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
 def _fitting(host: Column, path: Column, rules: list[tuple[str, str, str]], value) -> Column:
@@ -68,7 +74,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     absolute = (
         F.when(to.contains("://"), to)
         .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(F.regexp_extract("url", r"^([\s\S]*?://[^/?#]*)", 1), to))
+        .when(to.startswith("/"), F.concat(F.substring_index("url", "://", 1), F.lit("://"), host_of(url), to))
     )
     return found.select(node_of(url).alias("source"), node_of(absolute).alias("target")).where("source is not null and target is not null and source <> target")
 

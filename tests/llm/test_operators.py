@@ -247,7 +247,7 @@ def test_url_verdicts(spark):
     link = '<link rel="canonical" href="%s">'
     rows = [
         (1, "http://a.net/x", ""), (2, "http://b.org/de/1", link % "http://a.net/x"), (3, "http://c.org/fr/1", link % "http://b.org/de/1"), (4, "http://EXAMPLE.net/en/1#f", ""),
-        (5, None, None), (6, "no scheme", "x"), (7, "http://d.io/q?u=http://a.net/", '<meta http-equiv="refresh" content="0; url=/next">'), (8, "http://e.io", ""), (9, "http://mynet/", ""), (1, "http://a.net/x", ""),
+        (5, None, None), (6, "no scheme", "x"), (7, "http://d.io/q?u=http://a.net/", '<meta http-equiv="refresh" content="0; url=/next">'), (8, "http://e.io", ""), (9, "http://mynet/", ""), (10, "x" * 200_000 + "://A.net/" + "y" * 200_000, ""), (11, "a://b://c.net/d", ""), (1, "http://a.net/x", ""),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages).collect()}
@@ -257,6 +257,7 @@ def test_url_verdicts(spark):
     assert got[4] == ("example.net", "/en/1", "example.net/en/", "allow")
     assert got[5] == got[6] == ("", "", None, "allow")
     assert got[7] == ("d.io", "/q", None, "allow") and got[8] == ("e.io", "", None, "allow") and got[9][3] == "allow"
+    assert got[10][0] == "a.net" and got[10][3] == "block" and got[11][:2] == ("b:", "//c.net/d")
     more = spark.createDataFrame([("http://e.io", "http://d.io/next"), ("http://d.io/next", "https://a.net/x")], "source string, target string")
     got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, edges=more).collect()}
     assert got[7] == got[8] == "block"
