@@ -32,8 +32,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     norm = normalised(F.col(text_column))
     size, prefix = F.length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))
     keys = written(docs.select(size.alias("size"), prefix.alias("prefix")), "lengths")
-    sizes = keys.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    again = keys.join(sizes, "size", "left_semi").groupBy("size", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = keys.groupBy("size", "prefix").agg(F.count("*").alias("n"))  # combined before the shuffle, however large a group
+    sizes = pairs.groupBy("size").agg(F.sum("n").alias("rows")).where("rows > 1").select("size")
+    again = pairs.join(sizes, "size", "left_semi").where("n > 1")
     bucket = lambda size, prefix: F.pmod(F.xxhash64(size, prefix), F.lit(1 << SURVIVOR_BITS))
     buckets = again.select(bucket(F.col("size"), F.col("prefix")).alias("survivor")).distinct()
 
