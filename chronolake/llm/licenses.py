@@ -4,11 +4,17 @@ Known license sentences have identifiers.  A text becomes the sequence of identi
 holds; ordered rules over sequences then name licenses.  Rules are tried in order, longer evidence first,
 and what one rule has used is not seen by the next.
 
+A known sentence is found between sentence or line ends.  Line ends, blank lines and comment prefixes may
+stand anywhere inside it, and a ; where the sentence itself has one, so that hard-wrapped texts and
+license headers of source files are read as well.
+
 A text without any anchor word holds no known sentence, as every known sentence has one, and is not split.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +57,8 @@ RULES = [
 ANCHORS = "licen|permission|redistribut|copyright|software"
 #: A sentence ends at a line end, or at . ! ? ; before white space or the end.
 SENTENCE_END = r"[.!?;]*[\n\r]+|[.!?;]+(?:[ \t]+|$)"
+#: The start of a text or a line end, with the comment prefix after it.
+LINE_START = r"(?:\A|[\n\r])[^a-z0-9\n\r]*(?:(?:rem|dnl)\b[^a-z0-9\n\r]*)?"
 
 
 def normal_sentence(sentence: str) -> str:
@@ -58,15 +66,30 @@ def normal_sentence(sentence: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Identifiers by normalised sentence; a text sentence that was cut at a . inside is known by its parts."""
+    """Identifiers by normalised sentence."""
     return {normal_sentence(sentence): name for name, sentence in SENTENCES}
 
 
+def marked(text: Column) -> Column:
+    """The lowered words of a text with a space between them, and L for line ends with the comment prefix
+    that follows, S for a ; and E for . ! ? before white space or the end."""
+    out = F.regexp_replace(F.lower(text), LINE_START, "L")
+    out = F.regexp_replace(F.regexp_replace(out, r"[.!?](?=[ \tL]|$)", "E"), r";(?=[ \tL]|$)", "S")
+    return F.regexp_replace(out, "[^a-z0-9LSE]+", " ")
+
+
+def sentence_pattern(sentence: str) -> str:
+    """The pattern of a sentence in a marked text."""
+    parts = [normal_sentence(part).replace(" ", "[ L]+") for part in re.split(r";\s", sentence)]
+    return "[ LS]+".join(parts)
+
+
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the known sentences of a text, in order; of those that start at a place, the longest."""
     known = F.create_map(*(F.lit(x) for pair in known_sentences().items() for x in pair))
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.try_element_at(known, normal(s))), lambda i: i.isNotNull())
+    any_known = "|".join(sentence_pattern(s) for _, s in sorted(SENTENCES, key=lambda x: -len(x[1])))
+    found = F.regexp_extract_all(marked(text), F.lit(f"[LSE] ?({any_known})(?= ?(?:[LSE]|$))"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ LS]+", " ")))
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -86,4 +109,4 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         found = "".join(f"|{i}|" for i in sequence)
         times = F.floor((F.length("left") - F.length(F.replace(F.col("left"), F.lit(found), F.lit("")))) / F.lit(len(found))).cast("int")
         out = out.withColumn("licenses", F.concat("licenses", F.repeat(F.lit("," + name), times))).withColumn("left", F.replace(F.col("left"), F.lit(found), F.lit("/")))
-    return out.select("doc_id", "n_sentences", "sentence_ids", F.substring("licenses", 2, 1 << 20).alias("licenses"))
+    return out.select("doc_id", "n_sentences", "sentence_ids", F.expr("substring(licenses, 2)").alias("licenses"))
