@@ -5,9 +5,11 @@ labels the words of each line; it is trained from a small labelled table and dec
 batches.  It adds spans that the patterns miss, such as phone numbers without a + and addresses written
 with (at); spans of the patterns always stay.
 
-A chain is a line, cut after CHAIN words.  A word's shape says how many digits, dots and so on it has.
+A chain is a whole line.  A word's shape says how many digits, dots and so on it has.
 A line in which every word is plain (no digit, @, + or bracket, and at most one dot) has no personal data by the labelled table,
 and isn't decoded if the weights prove that the decoder would say the same (see Chain.plain_is_outside).
+If they also prove that a plain word between plain words is outside whatever the rest of its line holds
+(see Chain.plain_is_settled), only the words near others are decoded, with the labels of the whole line.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from . import tokens
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-CHAIN = 128
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -196,9 +197,18 @@ class Chain:
             path = np.maximum(path, path[:, via, None] + path[None, via, :])
         return bool(np.diag(path)[1:].max() < 0 and path[0].max() <= 0 and (gain[1:] + np.maximum(path[1:].max(1), 0)).max() < 0)
 
-    def decode(self, shape: np.ndarray, chain: np.ndarray) -> np.ndarray:
-        """The best label of each word; chain numbers ascend.  All chains advance together."""
+    def plain_is_settled(self, plain: np.ndarray) -> bool:
+        """Whether a plain word with plain words or line ends beside it is O in the best labels of every line:
+        O in the place of any other label wins, whatever the labels beside it."""
+        here, before, after = ((x[plain] - x[plain][:, :1]).max(0) for x in (self.here, self.before, self.after))
+        into, out_of = (self.moves - self.moves[:, :1]).max(0), (self.moves - self.moves[:1]).max(1)
+        return bool((here + sum(np.maximum(x, 0) for x in (before, after, into, out_of)))[1:].max() < 0)
+
+    def decode(self, shape: np.ndarray, chain: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+        """The best label of each word, O where outside is true; chain numbers ascend.  All chains advance together."""
         scores = self.emissions(shape, chain)
+        if outside is not None:
+            scores[outside, 1:] = -np.inf
         first = np.flatnonzero(np.concatenate(([True], chain[1:] != chain[:-1])))
         sizes = np.diff(np.append(first, len(chain)))
         order = np.argsort(-sizes, kind="stable")
@@ -286,13 +296,33 @@ def word_places(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _chain_numbers(data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Ascending numbers of chains: lines of a text, cut after CHAIN words."""
+def _line_numbers(data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Ascending numbers of the lines of the texts."""
     line = np.cumsum(data == ord("\n"))[starts]
-    new = np.concatenate(([True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])))
-    first = np.flatnonzero(new)
-    place = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
-    return np.cumsum(new | (place % CHAIN == 0))
+    return np.cumsum(np.concatenate(([True], (line[1:] != line[:-1]) | (row[1:] != row[:-1]))))
+
+
+def _distance(odd: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Words to the nearest odd word of the same line; 3 stands for more than 2."""
+    out = np.full(len(line), 3, np.int8)
+    out[odd] = 0
+    for d in (1, 2):
+        for off in (-d, d):
+            to = odd + off
+            good = (to >= 0) & (to < len(line))
+            good[good] = line[to[good]] == line[odd[good]]
+            out[to[good]] = np.minimum(out[to[good]], d)
+    return out
+
+
+def _line_end(data: np.ndarray, at: int, stop: int) -> int:
+    """The first line end of data[at:stop], or stop."""
+    while at < stop:
+        found = np.flatnonzero(data[at : min(stop, at + (1 << 16))] == ord("\n"))
+        if len(found):
+            return at + int(found[0])
+        at = min(stop, at + (1 << 16))
+    return stop
 
 
 def _spans(label: np.ndarray, chain: np.ndarray) -> Iterator[tuple[str, int, int]]:
@@ -312,34 +342,37 @@ def _spans(label: np.ndarray, chain: np.ndarray) -> Iterator[tuple[str, int, int
 _FORMS = {"email": re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"), "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"), "phone": re.compile(r"[+(]?[0-9][\x20().0-9-]+[0-9]")}
 
 
-def _found(model: Chain, plain_out: bool, texts: pa.Array) -> Iterator[tuple[int, str, int, int]]:
-    """(row, kind, start, end) in bytes of the text, by the chain."""
+def _found(model: Chain, plain_out: bool, settled: bool, texts: pa.Array) -> Iterator[tuple[int, str, int, int]]:
+    """(row, kind, start, end) in bytes of the text, by the chain; longer texts are taken in pieces of whole lines."""
     data, offsets = tokens.column_bytes(texts)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = min(rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + tokens.PIECE_BYTES, "right")) - 1))
         lo, stop = int(offsets[row]), int(offsets[end])
         while lo < stop:
-            hi = min(stop, lo + tokens.PIECE_BYTES) if end == row + 1 else stop
-            while hi < stop and not tokens.BY_SPACE[data[hi]]:
-                hi += 1
+            hi = _line_end(data, min(stop, lo + tokens.PIECE_BYTES), stop) if end == row + 1 else stop
             piece = data[lo:hi]
             starts, ends = word_places(piece, offsets[row : end + 1] - lo)
             if len(starts):
                 of_row = np.searchsorted(offsets[row : end + 1] - lo, starts, "right") - 1
-                chain = _chain_numbers(piece, starts, of_row)
-                keep = slice(None)
-                if plain_out:
+                line = _line_numbers(piece, starts, of_row)
+                keep, outside = np.arange(len(starts)), None
+                if plain_out or settled:
                     odd = np.flatnonzero(_ODD[piece])
                     dots = np.flatnonzero(piece == ord("."))
-                    odd = np.concatenate((np.searchsorted(starts, odd, "right") - 1, np.flatnonzero(np.searchsorted(dots, ends) - np.searchsorted(dots, starts) > 1)))
-                    wanted = np.zeros(int(chain[-1]) + 1, bool)
-                    wanted[chain[odd]] = True
-                    keep = np.flatnonzero(wanted[chain])
-                s, e, c, r = starts[keep], ends[keep], chain[keep], of_row[keep]
+                    odd = np.unique(np.concatenate((np.searchsorted(starts, odd, "right") - 1, np.flatnonzero(np.searchsorted(dots, ends) - np.searchsorted(dots, starts) > 1))))
+                    if settled:
+                        far = _distance(odd, line)
+                        keep = np.flatnonzero(far < 3)
+                        outside = far[keep] == 2
+                    else:
+                        wanted = np.zeros(int(line[-1]) + 1, bool)
+                        wanted[line[odd]] = True
+                        keep = np.flatnonzero(wanted[line])
+                s, e, r = starts[keep], ends[keep], of_row[keep]
                 if len(s):
-                    shape = shapes(piece, s, e)
-                    for kind, a, b in _spans(model.decode(shape, c), c):
+                    c = np.cumsum(np.concatenate(([True], (np.diff(keep) > 1) | (np.diff(line[keep]) > 0))))
+                    for kind, a, b in _spans(model.decode(shapes(piece, s, e), c, outside), c):
                         right = int(e[b - 1])
                         while right > s[a] and _TRAILING[piece[right - 1]]:
                             right -= 1
@@ -350,7 +383,7 @@ def _found(model: Chain, plain_out: bool, texts: pa.Array) -> Iterator[tuple[int
 
 def _finder(model: Chain):
     plain = np.unique(np.arange(SHAPES)[_plain_shapes()])
-    plain_out = model.plain_is_outside(plain)
+    plain_out, settled = model.plain_is_outside(plain), model.plain_is_settled(plain)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2
     as_text = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
@@ -358,7 +391,7 @@ def _finder(model: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             more: dict[int, list[tuple[str, int, int]]] = {}
-            for row, kind, a, b in _found(model, plain_out, batch.column(1)):
+            for row, kind, a, b in _found(model, plain_out, settled, batch.column(1)):
                 more.setdefault(row, []).append((kind, a, b))
             data, offsets = tokens.column_bytes(batch.column(1))
             odd = np.concatenate(([0], np.flatnonzero(_mask(b"0123456789@")[data]), [len(data)]))

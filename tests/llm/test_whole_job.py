@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import textwrap
 
-from chronolake.llm import licenses
+import numpy as np
+import pyarrow as pa
+
+from chronolake.llm import licenses, pii, tokens
 
 MIT = [s for n, s in licenses.SENTENCES if n in ("mit-grant", "mit-notice", "as-is")]
 BSD = [s for n, s in licenses.SENTENCES if n.startswith("bsd-")]
@@ -39,3 +42,32 @@ def test_license_sentences_on_one_line_and_cut_ones(spark):
     rows = [(1, APACHE.replace("\n", " ")), (2, "Released under the. MIT License"), (3, "Not released under\nthe MIT License."), (4, "Released under\nthe MIT License too.")]
     got = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "apache-ref", 2: "", 3: "", 4: ""}
+
+
+def chain_spans(model, text):
+    plain = np.flatnonzero(pii._plain_shapes())
+    assert model.plain_is_settled(plain)
+    raw = text.encode()
+    both = [[(k, raw[a:b].decode()) for _, k, a, b in pii._found(model, settled, settled, pa.array([text]))] for settled in (True, False)]
+    assert both[0] == both[1]  # only words near others, or all words of the line
+    return both[0]
+
+
+def test_a_span_is_found_at_every_place_of_a_line_and_of_a_text(monkeypatch):
+    model = pii.train(pii.labelled_table())
+    for before in (0, 1, *range(120, 136), 255, 256):
+        text = "alpha " * before + "(988) 555-2485 " + "beta " * 140
+        assert chain_spans(model, text) == [("phone", "(988) 555-2485")]
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 256)
+    for before in range(230, 262):
+        for end in (" ", "\n"):
+            text = "a" * 20 + end + "b" * (before - 22) + " (988) 555-2485 gamma" + end + "delta " * 60
+            assert chain_spans(model, text) == [("phone", "(988) 555-2485")]
+
+
+def test_words_near_others_have_the_labels_of_the_whole_line():
+    model, rng = pii.train(pii.labelled_table()), np.random.default_rng(4)
+    forms = ["word", "of", "x.y", "a.b.c", "(988)", "555-2485", "+49", "030", "1234567", "4111", "1.2.3.4", "a@b.c", "a(at)b.c", "[1]", "12/10/2020", "-", "end."]
+    lines = [" ".join(rng.choice(forms, 300, p=[0.3, 0.2, *[0.5 / 15] * 15])) for _ in range(40)]
+    for text in ("\n".join(lines), " ".join(lines), "", "word", "(988)"):
+        chain_spans(model, text)
