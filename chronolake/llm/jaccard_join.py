@@ -9,9 +9,12 @@ its two documents, which is exact, as prefixes for a smaller l are contained in
 Order and costs come from a count sketch of fixed size over the shingles of all documents: frequent
 shingles come last.  Any order gives the same result; the sketch only makes candidates few.
 
-Only classes are wanted, so a posting list isn't expanded into all its pairs: every document is first
-verified against the head (least document) of each list, and pairs are formed only between documents that
-are still in different components, block by block of the lists of one head.
+For the components a posting list isn't expanded into all its pairs: every document is first verified
+against the head (least document) of each list, and pairs are formed only between documents that are still
+in different components, block by block of the lists of one head.
+
+All links lie within components.  They are counted afterwards over all pairs of a component, by blocks of
+whole sets; each pair of blocks gives a count for each document, and no pair leaves it.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0
 #: Documents of a block of a posting list.
 BLOCK = 256
+#: Documents and shingles of a block of a component whose links are counted, about.
+LINK_BLOCK, LINK_SHINGLES = 1024, 1 << 19
 
 
 def _ids(batch: pa.RecordBatch) -> pa.Array:
@@ -250,6 +255,72 @@ def _block_pairs(percent: int):
     return run
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of a with each of b; rare shingles by their pairs, others by products of tables."""
+    token, column = np.unique(np.concatenate((*a, *b)), return_inverse=True)
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    column = np.split(column, [len(row[0])])
+    order = [np.argsort(c, kind="stable") for c in column]
+    row, column = [r[o] for r, o in zip(row, order, strict=True)], [c[o] for c, o in zip(column, order, strict=True)]
+    many = [np.bincount(c, minlength=len(token)) for c in column]
+    pairs = many[0] * many[1]
+    out = np.zeros(len(a) * len(b), np.int64)
+    rare = np.flatnonzero(pairs[column[0]] * (pairs[column[0]] <= 64))
+    first = np.concatenate(([0], np.cumsum(many[1])))
+    for at in range(0, len(rare), 1 << 15):
+        own = rare[at : at + (1 << 15)]
+        sizes = many[1][column[0][own]]
+        other = np.repeat(first[column[0][own]] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        out += np.bincount(np.repeat(row[0][own], sizes) * len(b) + row[1][other], minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    dense = np.flatnonzero(pairs > 64)
+    for at in range(0, len(dense), 2048):
+        part = dense[at : at + 2048]
+        tables = []
+        for x, r, c in zip((a, b), row, column, strict=True):
+            place = np.minimum(np.searchsorted(part, c), len(part) - 1)
+            good = part[place] == c
+            tables.append(np.zeros((len(x), len(part)), np.float32))
+            tables[-1][r[good], place[good]] = 1
+        out += (tables[0] @ tables[1].T).astype(np.int64)  # whole numbers below 2**24: exact
+    return out
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+        own = table["own"].combine_chunks()
+        _, once = np.unique(ids, return_index=True)  # a repeated id is one document
+        sides = [once[block[once] == x] for x in ([i] if i == j else [i, j])]
+        sets = [[np.frombuffer(own[int(r)].as_buffer(), np.uint64) for r in rows] for rows in sides]
+        if not all(sets):
+            return pa.table([pa.array([], pa.int64())] * 2, names=["rep", "links"])
+        shared = shared_counts(sets[0], sets[-1])
+        n, m = (np.array([len(x) for x in s], np.int64) for s in (sets[0], sets[-1]))
+        linked = 100 * shared >= percent * (n[:, None] + m[None, :] - shared)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        counts = [linked.sum(1), linked.sum(0)][: len(sides)]
+        return pa.table([ids[np.concatenate(sides)], np.concatenate(counts).astype(np.int64)], names=["rep", "links"])
+
+    return run
+
+
+def link_counts(docs: DataFrame, labels: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, n_links): the links of each document of labels(node, component), over all pairs of its component; reps(rep, n) has sizes."""
+    members = labels.join(reps.selectExpr("rep as node", "n"), "node").select(F.col("node").alias("id"), "component", "n")
+    sizes = members.groupBy("component").agg(F.count("*").alias("c"), F.ceil(F.greatest(F.count("*") / LINK_BLOCK, F.sum("n") / LINK_SHINGLES)).cast("int").alias("blocks"))
+    members = written(members.join(sizes, "component").select("id", "component", "c", "blocks"), "members")
+    pairs = members.where("c = 2").select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("links"))  # a component of two has the one link
+    members = members.where("c > 2").drop("c")
+    sets = docs.mapInArrow(_sets(k, bitmap_of(members, "id"), as_hashes), "id long, n long, own binary").select("id", "own")
+    dealt = sets.join(members, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.selectExpr("component", "least(block, other) as i", "greatest(block, other) as j", "block", "id", "own")
+    found = dealt.groupBy("component", "i", "j").applyInArrow(_block_links(percent), "rep long, links long")
+    return pairs.union(found).groupBy("rep").agg(F.sum("links").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): the components of documents that are linked by similarity.
 
@@ -257,10 +328,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     k-word shingles, or the whole sequence where it has fewer words.  Documents are linked if
     100 * intersection >= percent * union.  Documents without words (null or empty text) are linked
     with nothing.  Documents of equal sets form one class: they are linked with each other, and its
-    least document stands for it.  n_links counts links that were verified between class
-    representatives.  Rows that repeat an id count as one document; a null id has no component and
+    least document stands for it.  n_links counts all links of the class representative to those of
+    other classes.  Rows that repeat an id count as one document; a null id has no component and
     keeps a row of its own.  An empty table gives an empty table.  Other columns are not read.
     """
+    return _components(docs, k, percent, id_column, text_column, sketch_bits, True)
+
+
+def _components(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str, sketch_bits: int, counted: bool) -> DataFrame:
+    """The rows of jaccard_components; n_links is null if links aren't counted."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     read = written(docs.mapInArrow(_signatures(k, sketch_bits), "doc_id long, n long, s1 long, s2 long, bucket long, hits long"), "shingles")
     sketch = read.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()  # 2**sketch_bits rows at most
@@ -287,10 +363,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
         more = _verified(docs, written(_across(rest, labels, percent), "cross"), k, percent)
         links = written(links.union(more), "verified")
     labels = connected_components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+    reps = classes.select("rep", "n")
+    classes = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if counted:
+        classes = classes.join(link_counts(docs, labels, reps, k, percent), "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        classes = classes.withColumn("n_links", F.lit(None).cast("long"))
     out = known.join(classes, ["n", "s1", "s2"], "left").groupBy("doc_id").agg(
-        F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "rep", "doc_id")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")
+        F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "rep", "doc_id")).alias("component_id"), F.coalesce(F.max("n_links"), F.lit(0) if counted else F.lit(None)).cast("long").alias("n_links")
     )
     lost = read.where("bucket is null and doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(lost)
@@ -298,6 +378,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the least of their component; all columns of docs stay."""
-    found = jaccard_components(docs, k, percent)
+    found = _components(docs, k, percent, "doc_id", "text", SKETCH_BITS, False)
     dropped = found.where("component_id <> doc_id").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti")

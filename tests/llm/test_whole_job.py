@@ -7,7 +7,10 @@ import textwrap
 import numpy as np
 import pyarrow as pa
 
-from chronolake.llm import licenses, pii, tokens
+from chronolake.llm import jaccard_join, licenses, pii, tokens
+
+from . import brute
+from .test_operators import DATA, WORDS, odd_documents, pairs, prose
 
 MIT = [s for n, s in licenses.SENTENCES if n in ("mit-grant", "mit-notice", "as-is")]
 BSD = [s for n, s in licenses.SENTENCES if n.startswith("bsd-")]
@@ -71,3 +74,51 @@ def test_words_near_others_have_the_labels_of_the_whole_line():
     lines = [" ".join(rng.choice(forms, 300, p=[0.3, 0.2, *[0.5 / 15] * 15])) for _ in range(40)]
     for text in ("\n".join(lines), " ".join(lines), "", "word", "(988)"):
         chain_spans(model, text)
+
+
+def links_of(rows, k, percent):
+    """{doc_id: links of its class to other classes}, over all pairs of different sets."""
+    sets = {d: brute.shingle_set(t, k) for d, t in rows if d is not None}
+    classes = [s for s in set(sets.values()) if s]
+    holders = {}
+    for i, s in enumerate(classes):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    count = {frozenset(): 0}
+    for s in classes:
+        shared = np.bincount([j for x in s for j in holders[x]], minlength=len(classes))
+        count[s] = sum(100 * n >= percent * (len(s) + len(o) - n) for n, o in zip(shared.tolist(), classes, strict=True)) - 1
+    return {d: count[s] for d, s in sets.items()}
+
+
+def got_links(docs, k, percent):
+    return {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(docs, k, percent).collect() if r.doc_id is not None}
+
+
+def test_links_within_a_component_are_counted(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.choice(WORDS, 120).tolist()
+    rows = [(1, "a b c d e f g h i j k l m n o p q r s t u v w x"), (2, "a b c d e f g h i j k l m n o p q r s t u v w y"), (3, "a b c d e f g h i j k l m n o p q r s t u v w z"), (4, "only two"), (5, None)]
+    for d in range(60):
+        text = list(base)
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            text[at] = f"w{rng.integers(1000)}"
+        rows.append((10 + d, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = links_of(rows, 3, 90)
+    assert [want[d] for d in (1, 2, 3, 4, 5)] == [2, 2, 2, 0, 0] and max(want.values()) > 5
+    assert got_links(docs, 3, 90) == want
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", 4)
+    assert got_links(docs, 3, 90) == want
+
+
+def test_links_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert got_links(docs, 5, 80) == links_of(pairs(docs, "doc_id", "text"), 5, 80)
+    assert got_links(odd_documents(spark), 3, 90) == links_of(pairs(odd_documents(spark), "doc_id", "text"), 3, 90)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.integers(0, top, rng.integers(1, 300)).astype(np.uint64)) for _ in range(n) for top in (50, 400, 90_000)] for n in (30, 20))
+    assert jaccard_join.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
