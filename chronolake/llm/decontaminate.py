@@ -6,10 +6,14 @@ their fingerprints, each entered under every value within RADIUS // BLOCKS bits:
 principle a look-up of a window's blocks meets every item within RADIUS.  Candidates are then verified by
 the exact weighted Jaccard similarity of their shingles.
 
+Fingerprints of windows near the threshold may lie farther than RADIUS from the item's.  Therefore windows
+are candidates as well if the weights of the item's shingles that they hold could give the similarity; this
+bound holds for every window that is similar enough, so none is lost.
+
 A window that shares no shingle with any item has similarity 0 with all of them and isn't fingerprinted.
 
 The benchmark is a stated query set: it is taken in parts of PART_ITEMS items, each part indexed once and
-held against all texts.
+held against all texts.  Weights are of the whole benchmark, whatever its parts.
 """
 
 from __future__ import annotations
@@ -48,9 +52,11 @@ def _multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ItemIndex:
-    """Shingles, weights and fingerprints of a part of the benchmark."""
+    """Shingles, weights and fingerprints of a part of the benchmark; spread has the shingles that several
+    items of the whole benchmark have, in order, with the numbers of items, and the number of all items
+    with words.  Without it the part is the whole."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], spread: tuple[np.ndarray, np.ndarray, int] | None = None):
         hashed = [h[a:b] for _, _, h, at in tokens.words(pa.array([t or "" for t in texts], pa.string()), tokens.BY_PUNCTUATION) for a, b in zip(at[:-1], at[1:], strict=True)]
         kept = [i for i, h in enumerate(hashed) if len(h)]
         self.ids = [ids[i] for i in kept]
@@ -58,14 +64,16 @@ class ItemIndex:
         shingles = [tokens.shingles(hashed[i], K) for i in kept]
         self.sets = [_multiset(s) for s in shingles]
         every = [s[0] for s in self.sets]
-        self.known, spread = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.known_weight = np.maximum(1, np.round(RARE * (1 - np.log(spread) / np.log(len(kept) + 1)))).astype(np.int64)
+        self.known, counts = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.common, counts, total = spread or (self.known[counts > 1], counts[counts > 1], len(kept))
+        self.common_weight = np.maximum(1, np.round(RARE * (1 - np.log(counts) / np.log(total + 1)))).astype(np.int64)
         self.table = np.zeros(1 << 16, bool)
         self.table[self.known >> np.uint64(48)] = True
         which = np.concatenate([np.searchsorted(self.known, s) for s in every]) if every else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(kept)), [len(s) for s in every])
         order = np.argsort(which, kind="stable")
         self.owners, self.owner_at = owner[order], np.searchsorted(which[order], np.arange(len(self.known) + 1))
+        self.totals = np.array([int((self.weight(own) * n).sum()) for own, n in self.sets], np.int64)
         self.prints = np.array([simhash(s, self.weight(s), len(s))[0] for s in shingles], np.uint64)
         flips = [0, *(sum(1 << b for b in c) for r in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(_WIDTH), r))]
         flips = np.array(flips, np.uint64)
@@ -83,8 +91,8 @@ class ItemIndex:
         return (prints >> np.uint64(block * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)
 
     def weight(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == hashes, self.known_weight[at], RARE) if len(self.known) else np.full(len(hashes), RARE)
+        at = np.minimum(np.searchsorted(self.common, hashes), max(len(self.common) - 1, 0))
+        return np.where(self.common[at] == hashes, self.common_weight[at], RARE) if len(self.common) else np.full(len(hashes), RARE)
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of shingles that an item has, and their place in known."""
@@ -116,6 +124,16 @@ class ItemIndex:
         both = int((shared * self.weight(own)).sum())
         return both / (int((self.weight(keys) * counts).sum()) + int((self.weight(own) * own_counts).sum()) - both)
 
+    def able(self, item: int, places: np.ndarray, weights: np.ndarray, summed: np.ndarray, span: int) -> np.ndarray:
+        """Starts of the windows of span shingles that hold enough of the item's shingles, which are at places, to be similar enough.
+
+        What a window and an item share weighs no more than the window's shingles that the item has.
+        """
+        held = np.zeros(len(summed), np.int64)
+        held[places + 1] = weights
+        held = np.cumsum(held)
+        return np.flatnonzero((1 + SIMILARITY) * (held[span:] - held[:-span]) >= SIMILARITY * (self.totals[item] + summed[span:] - summed[:-span]) - 1e-6)
+
     def leaks(self, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, words): the best window of each item that a text holds."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -129,6 +147,16 @@ class ItemIndex:
             counts = self.owner_at[which + 1] - self.owner_at[which]
             owners = self.owners[np.repeat(self.owner_at[which] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())]
             places = np.repeat(at, counts)
+            weights = self.weight(shingles[places])
+            summed = np.concatenate(([0], np.cumsum(self.weight(shingles))))
+            held = np.bincount(owners, weights, len(self.ids))
+            for item in np.flatnonzero((np.minimum(self.lengths, K) == k) & (held > 0) & (held >= SIMILARITY * self.totals - 1e-6)).tolist():
+                size = min(int(self.lengths[item]), len(words))
+                span, mine = size - k + 1, owners == item
+                for w in self.able(item, places[mine], weights[mine], summed, span).tolist():
+                    found = self.similarity(item, shingles[w : w + span])
+                    if found >= SIMILARITY and (item not in best or (-found, w) < (-best[item][0], best[item][1])):
+                        best[item] = (found, w, size)
             wanted: dict[int, list[np.ndarray]] = {}
             for item in np.unique(owners):
                 if min(K, int(self.lengths[item])) == k:
@@ -173,6 +201,26 @@ def _search(index: ItemIndex):
     return run
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item with words, and a null for the item itself."""
+    for batch in batches:
+        for _, _, hashes, at in tokens.words(batch.column(0), tokens.BY_PUNCTUATION):
+            own = [np.unique(tokens.shingles(hashes[a:b], K)) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
+            yield pa.record_batch([pa.nulls(len(own), pa.int64())], names=["shingle"])
+
+
+def item_spread(items: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles that several items have, in order, with the numbers of items; and the number of items with words."""
+    shingles = items.select("text").mapInArrow(_item_shingles, "shingle long")
+    rows = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 or shingle is null").toArrow()  # bounded by the benchmark
+    found, n = rows["shingle"], rows["n"].to_numpy()
+    lone = found.is_null().to_numpy()
+    hashes, counts = found.filter(found.is_valid()).to_numpy().astype(np.int64).view(np.uint64), n[~lone]
+    order = np.argsort(hashes)
+    return hashes[order], counts[order], int(n[lone].sum())
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document for each item it holds.
 
@@ -185,10 +233,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = -(-max(1, items.count()) // PART_ITEMS)
+    spread = item_spread(items) if parts > 1 else None  # the only part has them all
     out = None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about PART_ITEMS rows, by hash
-        index = ItemIndex([r["item_id"] for r in own], [r["text"] for r in own])
+        index = ItemIndex([r["item_id"] for r in own], [r["text"] for r in own], spread)
         found = docs.mapInArrow(_search(index), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         out = found if out is None else out.union(found)
     return out

@@ -7,7 +7,7 @@ import textwrap
 import numpy as np
 import pyarrow as pa
 
-from chronolake.llm import jaccard_join, licenses, pii, tokens
+from chronolake.llm import decontaminate, jaccard_join, licenses, pii, tokens
 
 from . import brute
 from .test_operators import DATA, WORDS, odd_documents, pairs, prose
@@ -122,3 +122,36 @@ def test_shared_counts():
     rng = np.random.default_rng(5)
     a, b = ([np.unique(rng.integers(0, top, rng.integers(1, 300)).astype(np.uint64)) for _ in range(n) for top in (50, 400, 90_000)] for n in (30, 20))
     assert jaccard_join.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def near_leaks():
+    """Items that share phrases, and texts with passages of them of which some words are changed, to similarities around 0.8."""
+    rng = np.random.default_rng(6)
+    phrases = [prose(100 + i, 8) for i in range(4)]
+    items = [(i, " ".join((phrases[i % 4], prose(i, int(rng.integers(30, 60))), phrases[(i + 1) % 4]))) for i in range(40)]
+    docs = []
+    for d in range(400):
+        words = items[d % 40][1].split()
+        for at in rng.choice(len(words), rng.integers(0, 3), replace=False):
+            words[at] = f"x{d}"
+        docs.append((d, " ".join((prose(1000 + d, 30), *words, prose(2000 + d, 30)))))
+    return items, docs
+
+
+def test_all_leaks_are_found_whatever_the_parts(spark, monkeypatch):
+    items, docs = near_leaks()
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(docs, items)
+    assert sum(v < 0.85 for v in want.values()) > 20
+    got = []
+    for size in (3, 1024):
+        monkeypatch.setattr(decontaminate, "PART_ITEMS", size)
+        got.append(sorted(pairs(decontaminate.benchmark_leaks(*tables), "doc_id", "item_id", "similarity", "first_word", "n_words")))
+    assert got[0] == got[1]
+    assert {(d, i): s for d, i, s, *_ in got[1]} == want
+
+
+def test_given_leaks_are_all_found(spark):
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.benchmark_leaks(docs, items).collect()}
+    assert got == brute.leaks(pairs(docs, "doc_id", "text"), pairs(items, "item_id", "text"))
