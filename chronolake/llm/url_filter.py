@@ -20,6 +20,10 @@ CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+#: A link with canonical among its rel tokens, a refresh's target, which may hold a ;, and a page's base.
+CANONICAL_LINK = r"""(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>"""
+REFRESH_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+BASE = r"(?is)<base\b[^>]*(?<![\w-])href\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -53,30 +57,54 @@ def verdict_of(host: Column, path: Column, rules=RULES) -> Column:
     return _fitting(host, path, rules, lambda r: r[0])
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value in the plan only once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(path, "/"), none, lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.array_append(a, s)))
+    out = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"^/(?s:.*/)?\.\.?(?:/|\z)"), out).otherwise(path)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The URL that a reference on the page of url names."""
+    root = F.concat(F.substring_index(url, "://", 1), F.lit("://"), host_of(url))
+    folder = F.regexp_extract(path_of(url), "(?s)^.*/", 0)
+    return (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(root, path_of(url), to))
+        .when((to == "") | to.startswith("#"), url)
+        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), to))
+    )
+
+
 def node_of(url: Column) -> Column:
-    """A URL as a node: without scheme and fragment; null if it has no host."""
+    """A URL as a node: without scheme, fragment and dot segments; null if it has no host."""
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    return F.when(host_of(url) != "", F.concat(host_of(url), without_dots(path_of(url)), query))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(source, target) nodes for every canonical link and meta refresh of the columns url and html.
 
-    Targets are absolute, or begin with // or /; others name no page and are left out.
+    Targets are resolved against the page's base, or else its URL.
     """
     url, html = F.col("url"), F.col("html")
     tags = F.concat(
-        F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1)),
-        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
-    )
-    found = pages.where(html.rlike("(?i)canonical|refresh") & (host_of(url) != "")).select("url", F.explode(tags).alias("to"))
-    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    absolute = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(F.substring_index("url", "://", 1), F.lit("://"), host_of(url), to))
+        F.transform(F.regexp_extract_all("html", F.lit(CANONICAL_LINK), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1)),
+        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_TARGET, 1)),
     )
-    return found.select(node_of(url).alias("source"), node_of(absolute).alias("target")).where("source is not null and target is not null and source <> target")
+    plain = lambda to: F.replace(to, F.lit("&amp;"), F.lit("&"))
+    found = pages.where(html.rlike("(?i)canonical|refresh") & (host_of(url) != "")).select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(tags).alias("to"))
+    base = _once(resolved(url, plain(F.col("base"))), lambda b: F.when(host_of(b) != "", b).otherwise(url))
+    target = _once(base, lambda b: _once(resolved(b, plain(F.col("to"))), node_of))
+    return found.where("to <> ''").select(node_of(url).alias("source"), target.alias("target")).where("source is not null and target is not null and source <> target")
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None, id_column: str = "page_id") -> DataFrame:

@@ -7,7 +7,7 @@ import textwrap
 import numpy as np
 import pyarrow as pa
 
-from chronolake.llm import decontaminate, jaccard_join, licenses, pii, tokens
+from chronolake.llm import decontaminate, jaccard_join, licenses, pii, tokens, url_filter
 
 from . import brute
 from .test_operators import DATA, WORDS, odd_documents, pairs, prose
@@ -155,3 +155,21 @@ def test_given_leaks_are_all_found(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.benchmark_leaks(docs, items).collect()}
     assert got == brute.leaks(pairs(docs, "doc_id", "text"), pairs(items, "item_id", "text"))
+
+
+def test_references_are_resolved(spark):
+    link, refresh = '<link rel="%s" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    page = "http://a.io/x/y.html?q=1"
+    forms = [
+        (page, refresh % "moved.html", "a.io/x/moved.html"), (page, refresh % "../z", "a.io/z"), (page, refresh % "?id=3", "a.io/x/y.html?id=3"), (page, refresh % "./", "a.io/x/"),
+        (page, refresh % "../../../z/./w/..", "a.io/z/"), (page, refresh % "/p;v=1;w", "a.io/p;v=1;w"), (page, refresh % "/go?u=http://b.io/", "a.io/go?u=http://b.io/"), (page, refresh % "//B.io/c", "b.io/c"),
+        (page, link % ("alternate canonical", "c"), "a.io/x/c"), (page, link % ("canonical", "https://b.io/?a=1&amp;b"), "b.io/?a=1&b"), (page, "<link href=c rel=canonical>", "a.io/x/c"), (page, "<link rel='canonical nofollow' href='c'>", "a.io/x/c"),
+        (page, '<base href="/b/c/">' + refresh % "d", "a.io/b/c/d"), (page, '<base href="http://h.io/b/">' + refresh % "../d", "h.io/d"), ("http://a.io", refresh % "x", "a.io/x"),
+        (page, link % ("canonical-x", "c"), None), (page, link % ("canonical", "#top"), None), (page, refresh % "mailto:a@b.io", None), (page, "canonical", None),
+    ]
+    pages = spark.createDataFrame([(url.replace("a.io", f"a{i}.io"), html) for i, (url, html, _) in enumerate(forms)], "url string, html string")
+    got = {source.split("/")[0].split("?")[0]: target for source, target in pairs(url_filter.alias_edges(pages), "source", "target")}
+    assert got == {f"a{i}.io": want.replace("a.io", f"a{i}.io", 1) if want.startswith("a.io") else want for i, (_, _, want) in enumerate(forms) if want}
+    rows = [(1, "http://a.io/x/old", refresh % "../new"), (2, "http://a.io/new", link % ("canonical", "http://b.net/"))]
+    got = pairs(url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "verdict")
+    assert sorted(got) == [(1, "block"), (2, "block")]
