@@ -64,7 +64,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _valid(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in found.split(".")))
     if kind == "card":
         return 13 <= len(d := _digits(found)) <= 19 and luhn(d)
     if kind == "phone":

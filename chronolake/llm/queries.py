@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_leaks
-from .exact_dedup import exact_dedup, normalised
+from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .mixing import Mix, mixed
@@ -43,8 +42,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.sha2(normalised(F.col("text")), 256)
-    return exact_dedup(table(spark, sf_dir, "documents"), extra={"text_sha256": digest}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

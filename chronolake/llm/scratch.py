@@ -1,33 +1,8 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables of the training-data operators, in the folder that driver and executors share."""
 
-from __future__ import annotations
+from chronolake.sources.staging import new_path, removed
+from chronolake.sources.staging import staged as written
+from chronolake.sources.staging import staged_at as written_at
+from chronolake.sources.staging import staging_folder as folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-FOLDER = "spark.checkpoint.dir"
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
-    named = spark.conf.get(FOLDER, None) or spark.sparkContext.getConf().get(FOLDER)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set(FOLDER, named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and stored; cuts the lineage, and survives the loss of any executor.
-
-    The tables stay in the shared folder until its owner clears it, as the result that reads them is lazy.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "new_path", "removed", "written", "written_at"]

@@ -84,7 +84,7 @@ def base_spans(text):
 
     ok = {
         "email": lambda s: True,
-        "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "ip": lambda s: all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in s.split("."))),
         "card": lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s)),
         "phone": lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15,
     }
