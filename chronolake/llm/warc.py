@@ -5,12 +5,16 @@ The rows that come back name each record's file and place, so archives of failed
 
 Reading: a record is a run of rows (record, chunk number, chunk) with the digest of the payload so far, so
 that no payload is held whole; the last row of a record has the digest of all of it.
+
+A payload that is written is a value of its row, which Spark holds whole; beyond that, memory is bounded by
+the chunk size on both ways.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,14 +24,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import bit_words, flagged, joined
 from .scratch import new_path, written
 
 CHUNK_BYTES = 1 << 20
 ARCHIVE_BYTES = 1 << 28
+#: Bytes of archives that one task reads back, about.
+READ_BYTES = 1 << 24
 #: Payloads below this are never replaced by a revisit.
 LEAST_REVISIT_BYTES = 1000
 MANIFEST = "archive string, offset long, length long, page_id long"
-CHUNKS = "archive string, offset long, page_id long, record_type string, refers_to long, url string, chunk long, bytes_so_far long, sha1_so_far string, payload_bytes long, payload_digest string, data binary"
+CHUNKS = "archive string, offset long, page_id long, record_type string, refers_to long, url string, chunk long, bytes_so_far long, sha1_so_far string, payload_bytes long, payload_digest string, is_last boolean, data binary"
 
 
 def record_id(page_id: int | None) -> str:
@@ -35,8 +42,8 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(name: str | None) -> int | None:
-    number = (name or "")[len("<urn:x-page:") : -1]
-    return int(number) if number.lstrip("-").isdigit() else None
+    number = re.fullmatch(r"<urn:x-page:(-?[0-9]{1,19})>", name or "")
+    return int(number[1]) if number else None
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -44,14 +51,18 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
     Of records with equal payloads of LEAST_REVISIT_BYTES or more, that with the largest page_id is the
     response.  Payloads are equal if length and SHA-1 are.  Rows whose page_id is null, or that repeat
-    the largest page_id, are responses.
+    the largest page_id, are responses.  Only rows whose digest may occur again are shuffled, and not those
+    of the largest groups of copies.
     """
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
-    facts = written(pages.drop("url", "html"), "payloads").where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES)
-    keepers = facts.groupBy("payload_bytes", "payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = pages.join(keepers, ["payload_bytes", "payload_digest"], "left")
-    return out.withColumn("refers_to", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))).drop("keeper")
+    keys = ["payload_bytes", "payload_digest"]
+    facts = pages.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).groupBy(*keys).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    keepers = written(facts.where("n > 1"), "keepers")
+    again = written(bit_words(keepers, F.xxhash64(*keys)), "digests")
+    out = joined(flagged(pages, F.xxhash64(*keys), again, "again"), keepers, keys, "n", F.col("again"))
+    refers_to = F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))
+    return out.select("page_id", "url", "html", *keys, refers_to.alias("refers_to"))
 
 
 def _header(page_id, url, n, digest, refers_to) -> bytes:
@@ -140,7 +151,7 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
 
 
 def _reader(chunk_bytes: int):
-    schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("chunk", pa.int64()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("data", pa.binary())])
+    schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("chunk", pa.int64()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("is_last", pa.bool_()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = stream = None
@@ -163,11 +174,13 @@ def _reader(chunk_bytes: int):
                     while len(data) < min(left, chunk_bytes) and (more := next(blocks, None)) is not None:
                         data += more
                     part = bytes(data[: min(left, chunk_bytes)])
+                    if left > 0 and not part:
+                        raise EOFError("a record ends within its payload")
                     del data[: len(part)]
                     left -= len(part)
                     seen += len(part)
                     sha1.update(part)
-                    rows.append((*fixed, chunk, seen, sha1.hexdigest(), int(head["x-payload-length"]), digest, part))
+                    rows.append((*fixed, chunk, seen, sha1.hexdigest(), int(head["x-payload-length"]), digest, left <= 0, part))
                     held += len(part) + 300
                     chunk += 1
                     if held > 8 * CHUNK_BYTES:
@@ -183,21 +196,24 @@ def _reader(chunk_bytes: int):
 
 def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives in a manifest.  A revisit has one empty chunk; its length and digest are those in its header."""
-    places = manifest.repartition("archive").sortWithinPartitions("archive", "offset")
+    size = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = 1 + size // READ_BYTES  # by the bytes of the archives, not of the manifest; ranges keep a task in one place of an archive
+    places = manifest.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return places.select("archive", "offset", "length").mapInArrow(_reader(chunk_bytes), CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
     """One row for each record of a chunked record table, from its last chunk; raises if a payload doesn't have the digest of its header."""
-    last = chunks.groupBy("archive", "offset").agg(F.max_by(F.struct("page_id", "url", "record_type", "refers_to", "bytes_so_far", "sha1_so_far", "payload_bytes", "payload_digest"), "chunk").alias("r")).select("r.*")
     whole = (F.col("record_type") == "revisit") | ((F.col("sha1_so_far") == F.col("payload_digest")) & (F.col("bytes_so_far") == F.col("payload_bytes")))
-    return last.select("page_id", "url", F.when(whole, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload was damaged")).cast("long")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    payload_bytes = F.when(whole, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload was damaged")).cast("long"))
+    return chunks.where("is_last").select("page_id", "url", payload_bytes.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) as read back from archives.
 
-    A row for each row of pages; a null html is an empty payload.  An empty table gives an empty table.
+    A row for each row of pages, repeated ones too; a null html is an empty payload, a null url an empty
+    one.  Other columns, whatever their names, are not read.  An empty table gives an empty table.
     """
     folder = folder or new_path(pages.sparkSession, "archives")
     return records(read_archives(write_archives(with_revisits(pages), folder)))
