@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import connected_components
+from .groups import bit_words, flagged, joined
 from .scratch import written
 
 SKETCH_BITS = 18
-#: Bits of the filter through which the second reading of the texts passes; a full filter only lets more through.
-FILTER_BITS = 22
+#: Bits for each id of the filter through which the second reading of the texts passes, and all bits at most; a full filter only lets more through.
+BITS_AN_ID, MOST_FILTER_BITS = 8, 27
 MOST_MATCHES = 8
 #: Cost of verifying a candidate, in postings.
 VERIFY_COST = 20.0
@@ -112,9 +113,11 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
 
 
 def _wanted(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id has its bit in bitmap, bytes of eight bits each, the lowest first."""
     ids = batch.column(0)
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    return batch.filter(pa.array(known & bitmap[np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64(len(bitmap)))]))
+    at = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64(8 * len(bitmap)))
+    has = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+    return batch.filter(pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & has.astype(bool)))
 
 
 def _sets(k: int, bitmap: np.ndarray, encode):
@@ -175,14 +178,15 @@ def _passing(test, percent: int):
     return run
 
 
-def bitmap_of(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """True at id modulo 2**bits; the words of the map are combined by Spark and 2**bits bits reach the driver at most."""
+def bitmap_of(ids: DataFrame, column: str) -> np.ndarray:
+    """Bytes with a bit for each id modulo their number; the words of the map are combined by Spark and 2**MOST_FILTER_BITS bits reach the driver at most."""
+    bits = min(MOST_FILTER_BITS, max(12, (BITS_AN_ID * ids.count()).bit_length()))
     at = F.pmod(F.col(column), F.lit(1 << bits))
     word = ids.select((F.shiftright(at, 6)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
-    rows = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return words.view(np.uint8)
 
 
 def _tested(docs: DataFrame, pairs: DataFrame, k: int, percent: int, encode, test) -> DataFrame:
@@ -218,43 +222,67 @@ def _across(rest: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     own = rest.groupBy("pid", "doc_id").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list(F.struct("token", "pos")).alias("t"))
     own = own.join(rest.groupBy("doc_id").agg(F.count("*").alias("total")), "doc_id").withColumn("elsewhere", (F.col("total") - F.size("t")).cast("long"))
     own = own.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = rest.groupBy("pid").agg(F.count_distinct("doc_id").alias("c")).select("pid", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    dealt = own.join(sizes, "pid").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    own = written(own, "heads")
+    sizes = written(own.groupBy("pid").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "sizes")
+    dealt = joined(own, sizes, ["pid"], "c").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.selectExpr("pid", "least(block, other) as i", "greatest(block, other) as j", "block", "doc_id", "n", "l", "component", "elsewhere", "t.token as tokens", "t.pos as places")
-    found = dealt.groupBy("pid", "i", "j").applyInArrow(_block_pairs(percent), "u long, v long, c long, l long")
+    found = dealt.repartition("pid", "i", "j").groupBy("pid", "i", "j").applyInArrow(_block_pairs(percent), "u long, v long, c long, l long")
     return found.groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("l").alias("l")).where("c >= l").select("u", "v")
 
 
+#: Pairs of documents times tokens, or pairs of postings, that are compared at once.
+CELLS = 1 << 22
+
+
 def _block_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids, n, l, block, component, elsewhere = (table[c].to_numpy() for c in ("doc_id", "n", "l", "block", "component", "elsewhere"))
         lists = table["tokens"].combine_chunks()
-        token, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        room = np.zeros((len(ids), len(token)), np.int64)  # shingles from a token's place to the end
         of_row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        room[of_row, column] = n[of_row] - table["places"].combine_chunks().flatten().to_numpy()
+        room = n[of_row] - table["places"].combine_chunks().flatten().to_numpy()  # shingles from a token's place to the end
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         a = np.flatnonzero(block == i)
         b = a if i == j else np.flatnonzero(block == j)
-        out = []
-        step = max(1, (1 << 22) // max(1, len(b) * len(token)))  # bounds the table of pairs by tokens
-        for at in range(0, len(a), step):
-            x = a[at : at + step]
-            least = np.minimum(l[x][:, None], l[b][None, :])
-            need = np.ceil(percent * (n[x][:, None] + n[b][None, :]) / (100 + percent)) - least + 1
-            fits = (component[x][:, None] != component[b][None, :]) & (100 * np.minimum(n[x][:, None], n[b][None, :]) >= percent * np.maximum(n[x][:, None], n[b][None, :]))
-            if i == j:
-                fits &= ids[x][:, None] > ids[b][None, :]
-            p, q = np.nonzero(fits)
-            c = (np.minimum(room[x[p]], room[b[q]]) >= np.maximum(need[p, q], 1)[:, None]).sum(1)
-            good = (c > 0) & (c + np.minimum(elsewhere[x[p]], elsewhere[b[q]]) >= least[p, q])
-            one, two = ids[x[p[good]]], ids[b[q[good]]]
-            out.append((np.maximum(one, two), np.minimum(one, two), c[good], least[p[good], q[good]].astype(np.int64)))
-        return pa.table([np.concatenate(z) for z in zip(*out, strict=True)], names=["u", "v", "c", "l"])
+        fits = (component[a][:, None] != component[b][None, :]) & (100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :]))
+        if i == j:
+            fits &= ids[a][:, None] > ids[b][None, :]
+        p, q = np.nonzero(fits)
+        x, y = a[p], b[q]
+        least = np.minimum(l[x], l[y])
+        need = np.maximum(np.ceil(percent * (n[x] + n[y]) / (100 + percent)) - least + 1, 1)
+        c = _places_shared(lists.flatten().to_numpy(), of_row, room, x, y, need)
+        good = (c > 0) & (c + np.minimum(elsewhere[x], elsewhere[y]) >= least)
+        one, two = ids[x[good]], ids[y[good]]
+        return pa.table([np.maximum(one, two), np.minimum(one, two), c[good], least[good].astype(np.int64)], names=["u", "v", "c", "l"])
 
     return run
 
 
+def _places_shared(token: np.ndarray, row: np.ndarray, room: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each pair of rows x, y: the tokens both have with room for need shingles after it in both.
+
+    Tokens are taken some at a time, so a block with very many of them needs no table of all."""
+    _, column = np.unique(token, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, row, room = column[order], row[order], room[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    rows = int(max(x.max(), y.max())) + 1 if len(x) else 0
+    out = np.zeros(len(x), np.int64)
+    at_once = max(1, min(width, 256))
+    step = max(1, CELLS // at_once)
+    for first in range(0, width if len(x) else 0, at_once):
+        lo, hi = np.searchsorted(column, (first, first + at_once))
+        mine = row[lo:hi] < rows
+        table = np.zeros((rows, at_once), np.int32)
+        table[row[lo:hi][mine], column[lo:hi][mine] - first] = room[lo:hi][mine]
+        some = table.any(1)
+        pairs = np.flatnonzero(some[x] & some[y])
+        for at in range(0, len(pairs), step):
+            own = pairs[at : at + step]
+            out[own] += (np.minimum(table[x[own]], table[y[own]]) >= need[own][:, None]).sum(1)
+    return out
+
+
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The sizes of the intersections of each set of a with each of b; rare shingles by their pairs, others by products of tables."""
     token, column = np.unique(np.concatenate((*a, *b)), return_inverse=True)
@@ -311,13 +339,13 @@ def link_counts(docs: DataFrame, labels: DataFrame, reps: DataFrame, k: int, per
     """(rep, n_links): the links of each document of labels(node, component), over all pairs of its component; reps(rep, n) has sizes."""
     members = labels.join(reps.selectExpr("rep as node", "n"), "node").select(F.col("node").alias("id"), "component", "n")
     sizes = members.groupBy("component").agg(F.count("*").alias("c"), F.ceil(F.greatest(F.count("*") / LINK_BLOCK, F.sum("n") / LINK_SHINGLES)).cast("int").alias("blocks"))
-    members = written(members.join(sizes, "component").select("id", "component", "c", "blocks"), "members")
+    members = written(joined(written(members, "ids"), written(sizes, "sizes"), ["component"], "c").select("id", "component", "c", "blocks"), "members")
     pairs = members.where("c = 2").select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("links"))  # a component of two has the one link
     members = members.where("c > 2").drop("c")
     sets = docs.mapInArrow(_sets(k, bitmap_of(members, "id"), as_hashes), "id long, n long, own binary").select("id", "own")
     dealt = sets.join(members, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.selectExpr("component", "least(block, other) as i", "greatest(block, other) as j", "block", "id", "own")
-    found = dealt.groupBy("component", "i", "j").applyInArrow(_block_links(percent), "rep long, links long")
+    found = dealt.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(_block_links(percent), "rep long, links long")
     return pairs.union(found).groupBy("rep").agg(F.sum("links").alias("n_links"))
 
 
@@ -377,7 +405,13 @@ def _components(docs: DataFrame, k: int, percent: int, id_column: str, text_colu
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the least of their component; all columns of docs stay."""
+    """The documents that are the least of their component; all columns of docs stay, whatever their names.
+
+    Rows with a null id stay; rows that repeat an id stay or go together.  Only rows whose id may be among
+    those that go are shuffled."""
     found = _components(docs, k, percent, "doc_id", "text", SKETCH_BITS, False)
-    dropped = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("id"))
+    rows = flagged(rows, F.coalesce("id", F.lit(0)), bit_words(dropped, F.col("gone")), "maybe")
+    rest = rows.where("maybe").join(dropped, F.col("id") == F.col("gone"), "left_anti")
+    return rows.where("not maybe").select("whole.*").union(rest.select("whole.*"))
