@@ -23,9 +23,10 @@ def mixing_sql(mix: Mix) -> str:
         f"leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT tokens, sum(n_tokens)::HUGEINT * {mix.most_epochs} cap FROM docs GROUP BY ALL)",
     ]
     before = "total"
+    usable = " AND ".join(f"({_case(level, mix.weights.get(level, {}))}) > 0" for level in LEVELS)
     for depth, level in enumerate(LEVELS):
         keys, parents = LEVELS[: depth + 1], LEVELS[:depth]
-        own = f"SELECT {', '.join(keys)}, sum(cap) cap, {_case(level, mix.weights.get(level, {}))}::HUGEINT weight FROM leaves GROUP BY {', '.join(keys)}"
+        own = f"SELECT {', '.join(keys)}, sum(cap) cap, {_case(level, mix.weights.get(level, {}))}::HUGEINT weight FROM leaves WHERE {usable} GROUP BY {', '.join(keys)}"
         given = f"(SELECT sum(tokens) * {mix.percent} // 100 FROM leaves)" if not depth else "p.budget"
         source = f"({own}) n" if not depth else f"({own}) n JOIN {before} p USING ({', '.join(parents)})"
         part = f"PARTITION BY {', '.join(parents)}" if parents else ""
@@ -35,8 +36,10 @@ def mixing_sql(mix: Mix) -> str:
             f"""b{depth} AS (SELECT *, least(given, sum(cap) OVER ({part})) used, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) below,
                 sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) rest FROM a{depth})""",
             f"c{depth} AS (SELECT *, cap * rest <= weight * (used - below) filled FROM b{depth})",
-            f"""d{depth} AS (SELECT {', '.join(keys)}, CASE WHEN filled THEN cap ELSE weight * (used - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({part}))
-                // nullif(sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({part}), 0) END budget FROM c{depth})""",
+            f"""s{depth} AS (SELECT *, used - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({part}) AS remaining, CASE WHEN NOT filled THEN weight * (used - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({part}))
+                // nullif(sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({part}), 0) ELSE 0 END share FROM c{depth})""",
+            f"""d{depth} AS (SELECT {', '.join(keys)}, CASE WHEN filled THEN cap ELSE share + CASE WHEN sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER ({order} ROWS UNBOUNDED PRECEDING)
+                <= remaining - sum(share) OVER ({part}) THEN 1 ELSE 0 END END budget FROM s{depth})""",
         ]
         before = f"d{depth}"
     keys = ", ".join(LEVELS)

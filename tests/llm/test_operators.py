@@ -139,6 +139,68 @@ def test_mixing_shares_shortages_among_siblings_first(spark):
     assert got == {"b5": 10, "a3": 50, "a1": 100, "a2": 420}
 
 
+def plain_budgets(leaves, mix):
+    """{leaf: tokens}, node by node: the child with the least capacity by weight is filled first, and the others share what is left."""
+    weight = lambda level, value: mix.weights.get(mixing.LEVELS[level], {}).get(value, 1)
+    caps = {leaf: n * mix.most_epochs for leaf, n in leaves.items() if n and all(weight(i, v) for i, v in enumerate(leaf))}
+
+    def shared(prefix, given):
+        depth = len(prefix)
+        if depth == len(mixing.LEVELS):
+            return {prefix: given}
+        children = {}
+        for leaf, cap in caps.items():
+            if leaf[:depth] == prefix:
+                children[leaf[depth]] = children.get(leaf[depth], 0) + cap
+        given, out = min(given, sum(children.values())), {}
+        left = sorted(children, key=lambda c: (children[c] / weight(depth, c), c))
+        while left and children[left[0]] * sum(weight(depth, c) for c in left) <= given * weight(depth, left[0]):
+            out[left[0]] = children[left[0]]
+            given -= children[left.pop(0)]
+        open_weight = sum(weight(depth, c) for c in left)
+        out |= {c: given * weight(depth, c) // open_weight for c in left}
+        for c in left[: given - sum(out[c] for c in left)]:
+            out[c] += 1
+        return {leaf: n for c, own in out.items() for leaf, n in shared((*prefix, c), own).items()}
+
+    return {leaf: n for leaf, n in shared((), sum(leaves.values()) * mix.percent // 100).items() if n}
+
+
+def test_mixing_spends_what_it_can(spark):
+    """Weights of 0 on every level; the whole budget is spent while any leaf that weighs more has tokens left."""
+    rng = np.random.default_rng(3)
+    for seed in range(4):
+        names = [("web", "books", "code"), ("en", "de", "fr"), tuple(f"s{i}" for i in range(4))]
+        leaves = {(d, g, s): int(rng.integers(0, 900)) for d in names[0] for g in names[1] for s in names[2] if rng.random() < 0.7}
+        weights = {"domain": {"web": 5, "books": 3, "code": int(seed > 1)}, "lang": {"en": 4, "de": 0, "fr": 3}, "source": {"s0": 0, "s1": 7}}
+        mix = mixing.Mix(weights=weights, percent=[30, 60, 90, 300][seed], most_epochs=3)
+        table = spark.createDataFrame([(*leaf, n) for leaf, n in leaves.items()], "domain string, lang string, source string, tokens long").coalesce(1)
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(table, mix).collect()}
+        assert got == plain_budgets(leaves, mix)
+        usable = sum(3 * n for (d, g, s), n in leaves.items() if g != "de" and s != "s0" and (d != "code" or seed > 1))
+        assert sum(got.values()) == min(usable, sum(leaves.values()) * mix.percent // 100)
+
+
+def test_mixing_takes_the_prefix_of_each_leaf(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), ["en", "de"][i % 2], f"src{i % 3 + 5}") for i in range(600)]
+    docs, mix = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4), mixing.Mix(percent=110)
+    got = {r.doc_id: r.copies for r in mixing.mixed(docs, mix).collect()}
+    domain = lambda s: "books" if s[-1] in "567" else "code" if s[-1] in "89" else "web"
+    leaves = {}
+    for _, text, lang, source in rows:
+        leaves[domain(source), lang, source] = leaves.get((domain(source), lang, source), 0) + len(text.split())
+    want = {}
+    for leaf, budget in plain_budgets(leaves, mix).items():
+        whole, part = divmod(budget, leaves[leaf])
+        own = sorted((hashlib.md5(f"{mix.seed}:{whole}:{d}".encode()).hexdigest(), len(t.split()), d) for d, t, lang, s in rows if (domain(s), lang, s) == leaf)
+        used = 0
+        for _, n, d in own:
+            used += n
+            want[d] = whole + (used <= part and part > 0)
+    assert got == {d: n for d, n in want.items() if n}
+
+
 def test_mixing_odd_documents(spark):
     docs = odd_documents(spark)
     got = mixing.mixed(docs, mixing.Mix(percent=250, most_epochs=3)).collect()
