@@ -12,8 +12,9 @@ bound holds for every window that is similar enough, so none is lost.
 
 A window that shares no shingle with any item has similarity 0 with all of them and isn't fingerprinted.
 
-The benchmark is a stated query set: it is taken in parts of PART_ITEMS items, each part indexed once and
-held against all texts.  Weights are of the whole benchmark, whatever its parts.
+The benchmark is a stated query set: it is taken in parts of PART_ITEMS items, of which one is held at a
+time.  If there are several, a filter of bounded size first finds the texts that share a shingle with any
+item, so that all texts are read once, however many the parts.  Weights are of the whole benchmark.
 """
 
 from __future__ import annotations
@@ -27,11 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .rowwise import only, without
+from .scratch import removed, written, written_at
 
 K = 5
 SIMILARITY = 0.8
 BLOCKS, RADIUS = 4, 15
 PART_ITEMS = 1024
+#: Bits for each shingle of the benchmark in the filter of texts, and all bits at most.
+BITS_A_SHINGLE, MOST_FILTER_BITS = 16, 27
+#: Windows that are fingerprinted at once; bounds memory for long texts.
+WINDOWS = 1 << 13
 #: Weight of a shingle that one item at most has; integer weights keep sums exact.
 RARE = 16
 
@@ -169,7 +176,8 @@ class ItemIndex:
                 np.add.at(touched, np.clip(hit - span + 1, 0, len(words) - size), 1)
                 np.add.at(touched, np.clip(hit, 0, len(words) - size) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(touched[:-1]) > 0)
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+                for run in (run[at : at + WINDOWS] for run in runs for at in range(0, len(run), WINDOWS)):
                     near = shingles[run[0] : run[-1] + span]
                     for item, windows in self.within(simhash(near, self.weight(near), span), length):
                         for w in windows.tolist():
@@ -180,20 +188,24 @@ class ItemIndex:
             yield item, found, start, size
 
 
+def _held(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, words) of the texts that share a shingle with an item."""
+    for row, _, hashes, at in tokens.words(texts, tokens.BY_PUNCTUATION):
+        touched = np.zeros(len(hashes) + 1, np.int64)
+        for k in index.ks:
+            hit, _ = index.hits(tokens.shingles(hashes, k))
+            touched[hit + 1] += 1
+        total = np.cumsum(touched)
+        for i in np.flatnonzero(total[at[1:]] > total[at[:-1]]):
+            yield row + int(i), hashes[at[i] : at[i + 1]]
+
+
 def _search(index: ItemIndex):
     names = ["doc_id", "item_id", "similarity", "first_word", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row, end, hashes, at in tokens.words(batch.column(1), tokens.BY_PUNCTUATION):
-                touched = np.zeros(len(hashes) + 1, np.int64)
-                for k in index.ks:
-                    hit, _ = index.hits(tokens.shingles(hashes, k))
-                    touched[hit + 1] += 1
-                total = np.cumsum(touched)
-                for i in np.flatnonzero(total[at[1:]] > total[at[:-1]]):
-                    rows += [(batch.column(0)[row + int(i)].as_py(), index.ids[item], *found) for item, *found in index.leaks(hashes[at[i] : at[i + 1]])]
+            rows = [(batch.column(0)[row].as_py(), index.ids[item], *found) for row, words in _held(index, batch.column(1)) for item, *found in index.leaks(words)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -202,17 +214,17 @@ def _search(index: ItemIndex):
 
 
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct shingles of each item with words, and a null for the item itself."""
+    """The distinct shingles of each item with words, and their length in words; a null shingle for the item itself."""
     for batch in batches:
         for _, _, hashes, at in tokens.words(batch.column(0), tokens.BY_PUNCTUATION):
-            own = [np.unique(tokens.shingles(hashes[a:b], K)) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
-            yield pa.record_batch([pa.nulls(len(own), pa.int64())], names=["shingle"])
+            own = [(np.unique(tokens.shingles(hashes[a:b], K)), min(K, b - a)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a]
+            for shingles, k in own:
+                yield pa.record_batch([pa.array(shingles.view(np.int64)), pa.array([k] * len(shingles), pa.int32())], names=["shingle", "k"])
+            yield pa.record_batch([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32())], names=["shingle", "k"])
 
 
-def item_spread(items: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+def item_spread(shingles: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """The shingles that several items have, in order, with the numbers of items; and the number of items with words."""
-    shingles = items.select("text").mapInArrow(_item_shingles, "shingle long")
     rows = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 or shingle is null").toArrow()  # bounded by the benchmark
     found, n = rows["shingle"], rows["n"].to_numpy()
     lone = found.is_null().to_numpy()
@@ -221,6 +233,47 @@ def item_spread(items: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return hashes[order], counts[order], int(n[lone].sum())
 
 
+def _touching(shingles: DataFrame):
+    """A mask of the texts that share a shingle with an item, and of a few more, as the filter has bits for hashes."""
+    known = shingles.where("shingle is not null")
+    total, ks = known.agg(F.count("*"), F.collect_set("k")).first()  # K values at most
+    bits = min(MOST_FILTER_BITS, max(16, (BITS_A_SHINGLE * total).bit_length()))
+    at = known.select(F.shiftrightunsigned("shingle", 64 - bits).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**(bits - 6) rows at most
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    table = table.view(np.uint8)
+
+    def mask(texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        for row, end, hashes, cuts in tokens.words(texts, tokens.BY_PUNCTUATION):
+            touched = np.zeros(len(hashes) + 1, np.int64)
+            for k in ks:
+                place = tokens.shingles(hashes, k) >> np.uint64(64 - bits)
+                touched[1 : len(place) + 1] += (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            sums = np.cumsum(touched)
+            out[row:end] = sums[cuts[1:]] > sums[cuts[:-1]]
+        return out
+
+    return mask
+
+
+def _indexes(items: DataFrame, n: int, spread: tuple | None) -> Iterator[ItemIndex]:
+    for part in range(n):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == part).collect()  # about PART_ITEMS rows, by hash
+        yield ItemIndex([r["item_id"] for r in own], [r["text"] for r in own], spread)
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int, DataFrame | None, tuple | None]:
+    """The items, the number of parts, and if there are several, the shingles of all items and their spread."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n = -(-max(1, items.count()) // PART_ITEMS)
+    if n == 1:  # the only part has them all
+        return items, 1, None, None
+    shingles = written(items.select("text").mapInArrow(_item_shingles, "shingle long, k int"), "item-shingles")
+    return items, n, shingles, item_spread(shingles)
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document for each item it holds.
 
@@ -228,22 +281,42 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     have five words, or all words of a shorter item.  A shingle weighs less the more items have it.  A
     text shorter than an item is one window.  Null and empty texts and items match nothing; repeated
     rows of either table are reported each; an empty table gives an empty table.  Of windows as similar
-    the first is told.
+    the first is told.  Columns other than the ids and texts are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = -(-max(1, items.count()) // PART_ITEMS)
-    spread = item_spread(items) if parts > 1 else None  # the only part has them all
-    out = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about PART_ITEMS rows, by hash
-        index = ItemIndex([r["item_id"] for r in own], [r["text"] for r in own], spread)
-        found = docs.mapInArrow(_search(index), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+    items, n, shingles, spread = _items(benchmark)
+    search = lambda docs, index: docs.mapInArrow(_search(index), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+    if n == 1:
+        return search(docs, next(_indexes(items, n, spread)))
+    mask = _touching(shingles)
+    near = docs.mapInArrow(lambda batches: (batch.filter(pa.array(mask(batch.column(1)))) for batch in batches), docs.schema)
+    near, out = written(near, "touching"), None
+    for index in _indexes(items, n, spread):
+        found = written(search(near, index), "leaks")
         out = found if out is None else out.union(found)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns; rows with a null id stay."""
-    leaks = benchmark_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that hold no benchmark item, with all their columns, whatever their names.
+
+    Each row is judged by its own text, so repeated rows go or stay together; rows with a null id stay."""
+    items, n, shingles, spread = _items(benchmark)
+
+    def clean(docs: DataFrame, index: ItemIndex) -> DataFrame:
+        def leaking(texts: pa.Array) -> np.ndarray:
+            out = np.zeros(len(texts), bool)
+            out[[row for row, words in _held(index, texts) if next(index.leaks(words), None)]] = True
+            return out
+
+        return without(docs, leaking)
+
+    if n == 1:
+        return clean(docs, next(_indexes(items, n, spread)))
+    mask = _touching(shingles)
+    near, path = written_at(only(docs, mask), "touching")
+    for index in _indexes(items, n, spread):
+        last = path
+        near, path = written_at(clean(near, index), "touching")
+        removed(docs.sparkSession, last)
+    return without(docs, mask).union(near)

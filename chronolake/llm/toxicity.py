@@ -5,7 +5,8 @@ their stems (first STEM bytes), and a document is toxic unless all of its senten
 the weights maximise the likelihood of their labels, and then also tell which sentences offend.
 
 The weights are learned from a bounded sample of labelled documents: SAMPLE[c] rows of class c at most,
-those with the least hash of their id; equal texts count once.  The words and stems that get a weight are
+those with the least hash of their id, and of those the texts of LEARN_CHARS characters at most; equal texts
+count once.  The words and stems that get a weight are
 the VOCABULARY whose document counts in the sample tell most for toxicity; Spark counts them.  The driver
 gets the hits of those few words, and of documents without a hit only how many have so many sentences.
 """
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .labelled import held_out, to_learn
+from .rowwise import without
 from .scratch import written
 
 SAMPLE = {0: 16_000, 1: 8_000}
+#: Longer texts aren't learned from; they are scored whole like others.
+LEARN_CHARS = 50_000
 VOCABULARY = 512
 #: A word of the vocabulary is in so many times the share of toxic documents that it has of others.
 LEAST_RATIO = 2.0
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     for label, most in SAMPLE.items():
         one = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = one if ids is None else ids.union(one)
-    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text", "label").dropDuplicates(), "sample")  # sum(SAMPLE) ids at most
+    sample = written(docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LEARN_CHARS).join(F.broadcast(ids), "doc_id").select("text", "label").dropDuplicates(), "sample")  # sum(SAMPLE) ids at most
     counts = sample.mapInArrow(_word_counts, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     taken = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = taken.get(1, 0), taken.get(0, 0)
@@ -176,11 +180,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     return fit_noisy_or(lexicon, label, sentences, of_row, np.cumsum(new), word, weight * (ones + zeros) / weight.sum())
 
 
+def _scores(model: NoisyOr, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([model.score(end - row, *bag) for row, end, *bag in _bags(texts, model.lexicon)] or [np.zeros(0)])
+
+
+def _sentences(model: NoisyOr, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spans of the sentences of a text in code points, and their scores."""
+    spans = [m.span() for m in SENTENCE.finditer(text)]
+    return spans, _scores(model, pa.array([text[a:b] for a, b in spans], pa.string()))
+
+
+def _offending(model: NoisyOr, text: str) -> str:
+    """The spans of the sentences that are toxic on their own, or else of the worst one."""
+    spans, score = _sentences(model, text)
+    bad = np.flatnonzero(score >= THRESHOLD) if len(score) else []
+    if not len(bad) and len(score):
+        bad = [int(score.argmax())]
+    return ",".join(f"{spans[i][0]}:{spans[i][1]}" for i in bad)
+
+
 def _scorer(model: NoisyOr):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, *bag in _bags(batch.column(1), model.lexicon):
-                yield pa.record_batch([batch.column(0)[row:end], pa.array(model.score(end - row, *bag))], names=["doc_id", "score"])
+            score = _scores(model, batch.column(1))
+            bad = {int(i): _offending(model, batch.column(1)[int(i)].as_py()) for i in np.flatnonzero(score >= THRESHOLD)}
+            yield pa.record_batch([batch.column(0), pa.array(score), pa.array([bad.get(i, "") for i in range(len(score))], pa.string())], names=["doc_id", "score", "offending"])
 
     return run
 
@@ -189,9 +213,7 @@ def _locator(model: NoisyOr):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                spans = [m.span() for m in SENTENCE.finditer(text or "")]
-                parts = pa.array([text[a:b] for a, b in spans], pa.string())
-                score = np.concatenate([model.score(end - row, *bag) for row, end, *bag in _bags(parts, model.lexicon)] or [np.zeros(0)])
+                spans, score = _sentences(model, text or "")
                 bad = np.flatnonzero(score >= THRESHOLD)
                 n = len(bad)
                 yield pa.record_batch([pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([spans[i][0] for i in bad], pa.int64()), pa.array([spans[i][1] for i in bad], pa.int64()), pa.array(score[bad])], names=["doc_id", "start", "end", "score"])
@@ -200,17 +222,20 @@ def _locator(model: NoisyOr):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: NoisyOr | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs: score is the probability of label 1.
+    """(doc_id, held_out, score, predicted, offending) for every row of docs: score is the probability of label 1.
 
+    offending has start:end in code points, comma-joined, of the sentences that are toxic on their own, or
+    of the worst one, of a document that is predicted toxic; it is empty for others.
     labels(doc_id, toxic): rows with a null, a label other than 0 and 1, or a held-out id are not
-    learned from.  Without toxic rows to learn from, every score is near 0.  Null and empty texts have no
-    sentence and score 0.  Repeated rows get the same row each; an empty table gives an empty table.
-    Only the text is an input of the score.
+    learned from; a document that is labelled twice counts once for each label.  Without toxic rows to
+    learn from, every score is near 0.  Null and empty texts have no sentence and score 0.  Repeated rows
+    get the same row each; an empty table gives an empty table.  Only the text is an input of the score;
+    columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = model or fit(docs, to_learn(labels, "toxic"))
-    scored = docs.mapInArrow(_scorer(model), "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = docs.mapInArrow(_scorer(model), "doc_id long, score double, offending string")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
 def toxic_sentences(docs: DataFrame, labels: DataFrame, model: NoisyOr | None = None) -> DataFrame:
@@ -221,6 +246,8 @@ def toxic_sentences(docs: DataFrame, labels: DataFrame, model: NoisyOr | None =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with all their columns; rows with a null id stay."""
-    bad = score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that aren't predicted toxic, with all their columns, whatever their names.
+
+    Each row is judged by its own text, so repeated rows go or stay together; rows with a null id stay."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), to_learn(labels, "toxic"))
+    return without(docs, lambda texts: _scores(model, texts) >= THRESHOLD)
