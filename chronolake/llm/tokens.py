@@ -2,7 +2,10 @@
 
 All functions work on the UTF-8 buffer of a column, so no Python string is built.  A word is a
 maximal run of bytes that are not separators; separators are ASCII, so they never cut a character.
-Hashes are 64 bits wide; two different words or shingles are taken as equal with probability 2**-64.
+Hashes are 64 bits wide; two different words or shingles are taken as equal with probability 2**-64, unless
+they were made to be: the hash of a word is a polynomial modulo 2**64, for which two words of some thousand
+letters can be crafted that agree (Thue-Morse words).  Fixed random values of bytes and a fixed seed make
+results the same in every run.
 """
 
 from __future__ import annotations
