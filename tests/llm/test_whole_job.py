@@ -13,7 +13,7 @@ from . import brute
 from .test_operators import DATA, WORDS, odd_documents, pairs, prose
 
 MIT = [s for n, s in licenses.SENTENCES if n in ("mit-grant", "mit-notice", "as-is")]
-BSD = [s for n, s in licenses.SENTENCES if n.startswith("bsd-")]
+BSD = [s for n, s in licenses.SENTENCES if n in ("bsd-grant", "bsd-source", "bsd-binary")]
 GPL = [s for n, s in licenses.SENTENCES if n in ("gpl-grant", "gpl-copy")]
 APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -41,6 +41,26 @@ def test_wrapped_and_commented_licenses(spark):
     assert {r.sentence_ids for d, r in got.items() if want[d] == "MIT"} == {"mit-grant,mit-notice,as-is"}
 
 
+def test_every_known_sentence_is_found_wrapped_and_whole(spark):
+    rows, want = [], []
+    for name, sentence in licenses.SENTENCES:
+        for text in (sentence, textwrap.fill(sentence + ".", 40), "\n".join("# " + line for line in textwrap.wrap(sentence, 50))):
+            want.append((len(rows), name))
+            rows.append((len(rows), f"First line.\n{text}\nLast line."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(pairs(licenses.scan_licenses(docs), "doc_id", "sentence_ids")) == want
+
+
+def test_rules_name_the_licenses_of_sequences(spark):
+    sentence = {name: s for name, s in reversed(licenses.SENTENCES)}
+    rows = [(i, ".\n".join(sentence[x] for x in sequence) + ".") for i, (_, sequence) in enumerate(licenses.RULES)]
+    got = dict(pairs(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "licenses"))
+    assert got == {i: name for i, (name, _) in enumerate(licenses.RULES)}
+    texts = [(1, "SPDX-License-Identifier: MPL-2.0\n"), (2, "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed. */"), (3, "Licensed under CC BY-SA 4.0. Licensed under the MIT License.")]
+    got = dict(pairs(licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "licenses"))
+    assert got == {1: "MPL-2.0", 2: "MPL-2.0", 3: "MIT,CC-BY-SA-4.0"}
+
+
 def test_license_sentences_on_one_line_and_cut_ones(spark):
     rows = [(1, APACHE.replace("\n", " ")), (2, "Released under the. MIT License"), (3, "Not released under\nthe MIT License."), (4, "Released under\nthe MIT License too.")]
     got = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
