@@ -117,7 +117,7 @@ def _changed_words(a: str, b: str) -> str:
 
 
 def merge3(base: list[str], ours: list[str], theirs: list[str]) -> tuple[list[str], bool]:
-    """Three-way merge of lines; overlapping changes that differ are put between conflict markers."""
+    """Three-way merge of lines; changes that overlap or start together, and differ, are put between conflict markers.  Changes that only touch are both taken."""
     sides = [edits(base, ours), edits(base, theirs)]
     out, conflict, at, i, j = [], False, 0, 0, 0
     while i < len(sides[0]) or j < len(sides[1]):
@@ -125,13 +125,13 @@ def merge3(base: list[str], ours: list[str], theirs: list[str]) -> tuple[list[st
         lo = min(starts)
         hi, a, b = lo, [], []
         grown = True
-        while grown:  # takes in all changes of both sides that overlap or touch
+        while grown:  # takes in all changes of both sides that overlap or start together
             grown = False
-            while i < len(sides[0]) and (sides[0][i][0] < hi or sides[0][i][0] == lo or sides[0][i][0] == hi and (a or b)):
+            while i < len(sides[0]) and (sides[0][i][0] < hi or sides[0][i][0] == lo):
                 hi, grown = max(hi, sides[0][i][1]), True
                 a.append(sides[0][i])
                 i += 1
-            while j < len(sides[1]) and (sides[1][j][0] < hi or sides[1][j][0] == lo or sides[1][j][0] == hi and (a or b)):
+            while j < len(sides[1]) and (sides[1][j][0] < hi or sides[1][j][0] == lo):
                 hi, grown = max(hi, sides[1][j][1]), True
                 b.append(sides[1][j])
                 j += 1
@@ -169,7 +169,9 @@ def _split(text: str | None) -> list[str]:
 
 @F.pandas_udf(T.StringType())
 def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(unified(_split(x), _split(y))) for x, y in zip(a, b, strict=True)])
+    """Without a text there are no lines, rather than one that is empty."""
+    own = lambda t: _split(t) if t else []
+    return pd.Series(["\n".join(unified(own(x), own(y))) for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.StringType())
@@ -202,3 +204,64 @@ def blame(history: DataFrame, key: str, order: str, content: str) -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(last), "line_no": range(1, len(last) + 1), "line": last, "version": blamed(versions)})
 
     return history.select(key, order, content).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, line_no int, line string, version {kinds[order]}")
+
+
+def blamed_graph(versions: list[tuple[object, list[object], list[str]]], ignore: set = frozenset(), strip: bool = False) -> dict[object, list[object]]:
+    """{version: the version that brought each of its lines} for (version, its parents in order, lines), parents first.
+
+    A line that several parents have is that of the first.  Lines of an ignored version are blamed on the
+    line of its first parent at the same place, if there is one; strip leaves white space out of account."""
+    plain = (lambda t: ["".join(x.split()) for x in t]) if strip else list
+    texts, owners = {}, {}
+    for name, parents, lines in versions:
+        own: list[object] = [None] * len(lines)
+        known = [p for p in parents if p in texts]
+        for p in known:
+            for i, j in matches(plain(texts[p]), plain(lines)):
+                own[j] = owners[p][i] if own[j] is None else own[j]
+        if name in ignore and known:
+            first = owners[known[0]]
+            own = [first[j] if x is None and j < len(first) else x for j, x in enumerate(own)]
+        texts[name], owners[name] = lines, [name if x is None else x for x in own]
+    return owners
+
+
+def blame_graph(history: DataFrame, key: str, version: str, parents: str, content: str, ignore: list = (), strip: bool = False) -> DataFrame:
+    """(key, line_no, line, version) of the last version (by number) of each key; history has the numbers of each version's parents, which are smaller.
+
+    The versions of one file are walked in order in one task."""
+    kinds = {f.name: f.dataType.simpleString() for f in history.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(version)
+        versions = [(v, list(p), _split(t)) for v, p, t in zip(rows[version], rows[parents], rows[content], strict=True)]
+        name, _, last = versions[-1]
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(last), "line_no": range(1, len(last) + 1), "line": last, "version": blamed_graph(versions, set(ignore), strip)[name]})
+
+    return history.select(key, version, parents, content).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, line_no int, line string, version {kinds[version]}")
+
+
+def blame_range(blame: DataFrame, first: int, last: int) -> DataFrame:
+    """Lines first to last of a blame; raises unless 1 <= first <= last."""
+    if not 1 <= first <= last:
+        raise ValueError(f"no such lines: {first},{last}")
+    return blame.where(F.col("line_no").between(first, last))
+
+
+def blame_text(blame: DataFrame, key: str, commits: DataFrame, porcelain: bool = False) -> DataFrame:
+    """(key, line_no, text) of blame lines with commits(version, sha, author_name, author_email, author_date, summary): `sha (author date line) text`, or the porcelain form."""
+    rows = blame.join(commits, "version")
+    seconds = F.unix_timestamp(F.col("author_date").cast("timestamp")).cast("string")
+    number = F.col("line_no").cast("string")
+    short = F.concat(F.left("sha", F.lit(8)), F.lit(" ("), "author_name", F.lit(" "), F.date_format("author_date", "yyyy-MM-dd"), F.lit(" "), number, F.lit(") "), "line")
+    head = F.concat("sha", F.lit(" "), number, F.lit(" "), number, F.lit(" 1\nauthor "), "author_name", F.lit("\nauthor-mail <"), "author_email", F.lit(">\nauthor-time "), seconds, F.lit("\nsummary "), "summary", F.lit("\n\t"), "line")
+    return rows.select(key, "line_no", (head if porcelain else short).alias("text"))
+
+
+def parse_porcelain(text) -> object:
+    """sha, line_no, author, email, seconds, summary and line of one entry of the porcelain form."""
+    part = lambda form, i=1: F.regexp_extract(text, form, i)
+    return F.struct(
+        part("^([0-9a-f]{40}) ").alias("sha"), part(r"^[0-9a-f]{40} \d+ (\d+)").cast("int").alias("line_no"), part("(?m)^author (.*)$").alias("author"), part("(?m)^author-mail <(.*)>$").alias("email"),
+        part(r"(?m)^author-time (\d+)$").cast("long").alias("seconds"), part("(?m)^summary (.*)$").alias("summary"), part(r"\n\t([\s\S]*)$").alias("line"),
+    )

@@ -81,3 +81,19 @@ def bloom_false_positive_rate(bits: Column, hashes: Column, items: Column) -> Co
 
 def back_off_ms(attempt: Column, first: int = 100, factor: float = 2.0, most: int = 5000) -> Column:
     return F.least(F.lit(float(most)), first * F.pow(F.lit(factor), attempt))
+
+
+def commit_fault(raw: Column) -> Column:
+    """The first part of a commit's text that is missing or malformed (tree, parent, author, committer), or ok."""
+    header = F.regexp_extract(raw, r"^([\s\S]*?)(?:\n\n|$)", 1)
+    person = lambda who: header.rlike(rf"(?m)^{who} [^\n]* <[^>\n]*> \d+ [+-]\d{{4}}$")
+    bad_parent = header.rlike(r"(?m)^parent (?![0-9a-f]{40}$)")
+    return F.when(~header.rlike("^tree [0-9a-f]{40}(?:\n|$)"), "tree").when(bad_parent, "parent").when(~person("author"), "author").when(~person("committer"), "committer").otherwise("ok")
+
+
+def wrapped(message: Column, width: int = 72) -> Column:
+    """The body's lines broken at spaces to width characters, where a word isn't longer; the subject stays."""
+    lines = F.split(message, "\n")
+    broken = lambda line: F.regexp_replace(F.regexp_replace(line, rf"(.{{1,{width}}})(?: +|$)", "$1\n"), "\n$", "")
+    body = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.when(F.length(x) > width, broken(x)).otherwise(x))
+    return F.array_join(F.concat(F.slice(lines, 1, 1), body), "\n")

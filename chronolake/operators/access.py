@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,3 +81,39 @@ def rate_limited(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
     rows = hits.select("key", "id", "ms").repartition("key").sortWithinPartitions("key", "ms", "id")
     return rows.mapInPandas(run, "key long, id long, ms long, allowed boolean")
+
+
+def pattern_regex(pattern: str) -> str:
+    """Anchored regular expression of a protection pattern: ** crosses slashes, * doesn't, and * alone is everything."""
+    if pattern == "*":
+        return "(?s)^.*$"
+    return "^" + "".join({"**": ".*", "*": "[^/]*"}.get(part, re.escape(part)) for part in re.split(r"(\*\*|\*)", pattern)) + "$"
+
+
+def first_block(updates: DataFrame, rules: list[dict]) -> DataFrame:
+    """(name, reason) of updates(name, is_delete, is_create, is_force): `pattern: why` of the first enabled rule that stands against one; null if none does.
+
+    rules: pattern, enabled, no_delete, no_force, reviews.  Deletions are barred by no_delete; forced changes by no_force; and what isn't a deletion by reviews."""
+    reason = F.lit(None).cast("string")
+    for r in reversed([r for r in rules if r["enabled"]]):
+        fits = F.col("name").rlike(pattern_regex(r["pattern"]))
+        why = F.when(F.col("is_delete") & F.lit(r["no_delete"]), "deletion").when(~F.col("is_delete") & ~F.col("is_create") & F.col("is_force") & F.lit(r["no_force"]), "force push").when(~F.col("is_delete") & F.lit(r["reviews"] > 0), "reviews")
+        reason = F.when(fits & why.isNotNull(), F.concat(F.lit(f"{r['pattern']}: "), why)).otherwise(reason)
+    return updates.select("name", reason.alias("reason"))
+
+
+def specificity(pattern: str) -> int:
+    """Ten for each character, less 100 for each ** and 10 for each *; names without a * come before all."""
+    double = pattern.count("**")
+    return len(pattern) * 10 - 100 * double - 10 * (pattern.count("*") - 2 * double)
+
+
+def specific_rule(refs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(name, pattern): the most specific pattern that fits each of refs(name); of equals the first."""
+    pattern = F.lit(None).cast("string")
+    exact = [p for p in patterns if "*" not in p]
+    for p in reversed(sorted((p for p in patterns if "*" in p), key=lambda p: -specificity(p))):  # a stable sort, taken from its end
+        pattern = F.when(F.col("name").rlike(pattern_regex(p)), F.lit(p)).otherwise(pattern)
+    for p in exact:
+        pattern = F.when(F.col("name") == p, F.lit(p)).otherwise(pattern)
+    return refs.select("name", pattern.alias("pattern")).where("pattern is not null")

@@ -1,104 +1,267 @@
-"""Graph queries over an edge table (child, parent, ord): closures by rounds of frontier joins.
+"""Graph queries over an edge table (child, parent, ord).
 
-Each round joins only the new frontier; a node enters once, at its least depth, so paths are never listed.
-Rounds are staged, and the loop ends with an empty frontier.
+Sets of ancestors are found over chains: every node lies at a place of one line of first parents, so all
+ancestors that one line holds are a prefix of it, and a closure keeps one number for each (start, line).
+Rounds follow the links between lines, not the commits along them, so a long history needs few.  Lines are
+made by pointer doubling, in as many rounds as the logarithm of the longest line.
+
+Depths are found level by level; levels (longest ways down) by peeling segments, whose nodes have one parent
+and one child each.  A round is one job that writes the next table to the shared folder and counts it, so
+nothing is computed twice and a lost executor loses nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chronolake.sources.staging import staged
+from chronolake.sources.staging import new_path, removed, staged, staged_counted
+
+#: Tables of a loop that are read one by one before they are written together.
+MOST_PARTS = 8
+
+
+def _staged_sum(df: DataFrame, name: str, what) -> tuple[DataFrame, str, int, int]:
+    """A staged table, its path, the sum of what over its rows, and its rows."""
+    seen, path = Observation(), new_path(df.sparkSession, name)
+    df.observe(seen, F.coalesce(F.sum(what), F.lit(0)).alias("sum"), F.count("*").alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get["sum"], seen.get["rows"]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, line, place) of nodes(node) for links(node, next), at most one to and from each node; a line is
+    named after its last node, whose place is 0.  A cycle raises."""
+    state = nodes.join(links, "node", "left").select("node", F.coalesce("next", "node").alias("at"), F.col("next").isNotNull().cast("long").alias("place"))
+    state, path, far, n = _staged_sum(state, "lines", F.col("place"))
+    before = 0
+    while far != before:  # places grow until all have met the ends of their lines
+        before = far
+        ahead = state.where("place > 0").select(F.col("node").alias("at"), F.col("at").alias("beyond"), F.col("place").alias("more"))
+        moved = state.join(ahead, "at", "left").select("node", F.coalesce("beyond", "at").alias("at"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
+        last = path
+        state, path, far, _ = _staged_sum(moved, "lines", F.col("place"))
+        removed(nodes.sparkSession, last)
+        if far > n * n:
+            raise ValueError("the graph has a cycle")
+    return state.select("node", F.col("at").alias("line"), "place")
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
+
+
+class Lines:
+    """The lines of first parents of a graph, and the links between them; made once for any number of closures."""
+
+    def __init__(self, edges: DataFrame):
+        edges = staged(edges.select("child", "parent", "ord"), "edges")
+        # a node goes on to its first parent, if it is the greatest of the nodes that would
+        links = edges.where("ord = 0").groupBy("parent").agg(F.max("child").alias("node")).select("node", F.col("parent").alias("next")).where("node <> next")
+        self.places = lines(_nodes(edges), links)
+        end = lambda side: self.places.select(F.col("node").alias(side), F.col("line").alias(f"{side}_line"), F.col("place").alias(f"{side}_place"))
+        across = edges.join(end("child"), "child").join(end("parent"), "parent").where("child_line <> parent_line")
+        self.links = staged(across.groupBy("child_line", "child_place", "parent_line").agg(F.max("parent_place").alias("parent_place")), "links")
+
+    def reached(self, starts: DataFrame) -> DataFrame:
+        """(start, line, upto): the places 0 to upto of a line are ancestors of start, or start itself; starts(start, node)."""
+        spark = starts.sparkSession
+        first = starts.join(self.places, "node").groupBy("start", "line").agg(F.max("place").alias("upto")).withColumn("below", F.lit(-1).cast("long"))
+        state, path, fresh, _ = _staged_sum(first, "reached", (F.col("upto") > F.col("below")).cast("long"))
+        while fresh:
+            new = state.where("upto > below").join(self.links, (F.col("line") == F.col("child_line")) & (F.col("child_place") > F.col("below")) & (F.col("child_place") <= F.col("upto")))
+            new = new.groupBy("start", F.col("parent_line").alias("line")).agg(F.max("parent_place").alias("fresh")).withColumn("old", F.lit(None).cast("long"))
+            both = state.select("start", "line", F.col("upto").alias("old")).unionByName(new, allowMissingColumns=True)
+            merged = both.groupBy("start", "line").agg(F.max("old").alias("old"), F.max("fresh").alias("fresh"))
+            merged = merged.select("start", "line", F.greatest("old", "fresh").alias("upto"), F.coalesce("old", F.lit(-1)).cast("long").alias("below"))
+            last = path
+            state, path, fresh, _ = _staged_sum(merged, "reached", (F.col("upto") > F.col("below")).cast("long"))
+            removed(spark, last)
+        return state.select("start", "line", "upto")
+
+    def ancestors(self, starts: DataFrame) -> DataFrame:
+        """(start, node) of all ancestors of starts(start, node), themselves included."""
+        found = self.reached(starts).join(self.places, "line").where("place <= upto").select("start", "node")
+        return found.union(starts.select("start", "node")).distinct()  # a start without edges is its own ancestor
+
+
+def _starts(edges: DataFrame, nodes: list) -> DataFrame:
+    kind = edges.schema["child"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(n, n) for n in nodes], f"start {kind}, node {kind}")
+
+
+def reachable(edges: DataFrame, nodes: list) -> DataFrame:
+    """(start, node) of all ancestors of each of nodes, themselves included."""
+    return staged(Lines(edges).ancestors(_starts(edges, nodes)), "reachable")
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, first_parent: bool = False) -> DataFrame:
-    """(start, node, depth) of every ancestor of starts(start, node), itself included at depth 0, for all starts at once."""
-    steps = (edges.where("ord = 0") if first_parent else edges).select("child", "parent").distinct()
-    seen = staged(starts.select("start", "node").distinct().withColumn("depth", F.lit(0)), "closure")
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
+    """(start, node, depth) of every ancestor of starts(start, node), itself included at depth 0, for all starts at once.
+
+    Level by level, so there are as many rounds as levels; reachable() needs fewer where depths aren't asked for."""
+    steps = staged((edges.where("ord = 0") if first_parent else edges).select("child", "parent").distinct(), "steps")
+    frontier, path, n = staged_counted(starts.select("start", "node").distinct().withColumn("depth", F.lit(0)), "closure")
+    parts, depth = [(frontier, path)], 0
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
         reached = frontier.join(steps, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
-        frontier = staged(reached.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return seen
+        reached = reached.join(_union([part for part, _ in parts]), ["start", "node"], "left_anti")
+        frontier, path, n = staged_counted(reached.withColumn("depth", F.lit(depth)), "closure")
+        if len(parts) == MOST_PARTS:  # earlier levels become one table, so a level reads few
+            whole, at, _ = staged_counted(_union([part for part, _ in parts]), "closure")
+            removed(edges.sparkSession, *(p for _, p in parts))
+            parts = [(whole, at)]
+        parts.append((frontier, path))
+    return _union([part for part, _ in parts])
 
 
 def ancestors_of(edges: DataFrame, nodes: list, **options) -> DataFrame:
-    spark, kind = edges.sparkSession, edges.schema["child"].dataType.simpleString()
-    return ancestors(edges, spark.createDataFrame([(n, n) for n in nodes], f"start {kind}, node {kind}"), **options)
+    return ancestors(edges, _starts(edges, nodes), **options)
 
 
 def is_ancestor(edges: DataFrame, ancestor, of) -> bool:
-    return not ancestors_of(edges, [of]).where(F.col("node") == ancestor).isEmpty()
+    return not reachable(edges, [of]).where(F.col("node") == ancestor).isEmpty()
+
+
+def descends(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(ancestor, node, holds) for pairs(ancestor, node); a node is its own ancestor.  No ancestor is listed."""
+    found = Lines(edges)
+    reach = found.reached(pairs.select(F.col("node").alias("start"), "node").distinct()).withColumnRenamed("start", "node")
+    at = pairs.join(found.places.select(F.col("node").alias("ancestor"), "line", "place"), "ancestor").join(reach, ["node", "line"]).where("place <= upto")
+    hit = at.select("ancestor", "node").distinct().withColumn("hit", F.lit(True))
+    return pairs.join(hit, ["ancestor", "node"], "left").select("ancestor", "node", (F.coalesce("hit", F.lit(False)) | (F.col("ancestor") == F.col("node"))).alias("holds"))
+
+
+def distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(ancestor, node, distance) for pairs(ancestor, node): the fewest steps from node to ancestor, -1 if it is none."""
+    reach = ancestors(edges, pairs.select(F.col("node").alias("start"), "node").distinct()).select(F.col("start").alias("node"), F.col("node").alias("ancestor"), "depth")
+    return pairs.join(reach, ["node", "ancestor"], "left").select("ancestor", "node", F.coalesce("depth", F.lit(-1)).alias("distance"))
 
 
 def common_ancestors(edges: DataFrame, nodes: list) -> DataFrame:
     """Nodes that are ancestors-or-self of every one of nodes."""
-    reach = ancestors_of(edges, nodes)
-    return reach.groupBy("node").agg(F.count_distinct("start").alias("n")).where(F.col("n") == len(set(nodes))).select("node")
+    found = Lines(edges)
+    shared = found.reached(_starts(edges, sorted(set(nodes)))).groupBy("line").agg(F.count("*").alias("n"), F.min("upto").alias("upto")).where(F.col("n") == len(set(nodes)))
+    return shared.join(found.places, "line").where("place <= upto").select("node")
+
+
+def all_related(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, related) for pairs(a, b): whether they share an ancestor, themselves included."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    reach = Lines(edges).reached(ends.withColumn("start", F.col("node")))  # a shared line is a shared ancestor, its last node
+    side = lambda c: pairs.select("a", "b").distinct().join(reach.select(F.col("start").alias(c), "line"), c)
+    met = side("a").join(side("b"), ["a", "b", "line"], "left_semi").select("a", "b").distinct().withColumn("met", F.lit(True))
+    return pairs.join(met, ["a", "b"], "left").select("a", "b", (F.coalesce("met", F.lit(False)) | (F.col("a") == F.col("b"))).alias("related"))
+
+
+def merge_bases_of(found: Lines, pairs: DataFrame) -> DataFrame:
+    """(a, b, node): the common ancestors of each of pairs(a, b) that aren't ancestors of another.
+
+    Common ancestors are closed under parents, so on a line only the last common one can be such; it is
+    if no common node of another line has it, or one after it, as a parent."""
+    pairs = pairs.select("a", "b").distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    reach = found.reached(ends.withColumn("start", F.col("node")))
+    side = lambda c: pairs.join(reach.select(F.col("start").alias(c), "line", F.col("upto").alias(f"{c}_upto")), c)
+    common = staged(side("a").join(side("b"), ["a", "b", "line"]).select("a", "b", "line", F.least("a_upto", "b_upto").alias("place")), "common")
+    below = common.join(found.links, (F.col("line") == F.col("child_line")) & (F.col("child_place") <= F.col("place"))).groupBy("a", "b", F.col("parent_line").alias("line")).agg(F.max("parent_place").alias("passed"))
+    tops = common.join(below, ["a", "b", "line"], "left").where("passed is null or passed < place").join(found.places, ["line", "place"]).select("a", "b", "node")
+    return tops.union(pairs.where("a = b").select("a", "b", F.col("a").alias("node"))).distinct()
 
 
 def merge_bases(edges: DataFrame, a, b) -> DataFrame:
-    """Common ancestors that aren't ancestors of another.  Common ancestors are closed under parents, so those are the ones that are no parent of a common ancestor."""
-    common = staged(common_ancestors(edges, [a, b]), "common")
-    inner = edges.join(common, F.col("child") == F.col("node"), "left_semi").select(F.col("parent").alias("node"))
-    return common.join(inner, "node", "left_anti")
+    """(node): common ancestors of a and b that aren't ancestors of another."""
+    kind = edges.schema["child"].dataType.simpleString()
+    return merge_bases_of(Lines(edges), edges.sparkSession.createDataFrame([(a, b)], f"a {kind}, b {kind}")).select("node")
 
 
-def octopus_bases(edges: DataFrame, nodes: list) -> list:
-    """Merge bases folded over nodes; the bases of a fold are few."""
-    bases = [nodes[0]]
+def octopus_bases(edges: DataFrame, nodes: list) -> DataFrame:
+    """(node): merge bases folded over nodes: those of the bases so far and the next node."""
+    found = Lines(edges)
+    kind = edges.schema["child"].dataType.simpleString()
+    bases = edges.sparkSession.createDataFrame([(nodes[0],)], f"node {kind}")
     for n in nodes[1:]:
-        bases = sorted({r["node"] for b in bases for r in merge_bases(edges, b, n).collect()})
+        bases = staged(merge_bases_of(found, bases.select(F.col("node").alias("a"), F.lit(n).cast(kind).alias("b"))).select("node").distinct(), "bases")
     return bases
 
 
+def first_common(edges: DataFrame, a, b) -> DataFrame:
+    """(node, depth): the ancestors of a that are nearest to b."""
+    near = ancestors_of(edges, [b]).select("node", "depth")
+    shared = near.join(reachable(edges, [a]).select("node"), "node", "left_semi")
+    return shared.join(F.broadcast(shared.agg(F.min("depth").alias("depth"))), "depth").select("node", "depth")  # one row
+
+
 def independent(edges: DataFrame, nodes: list) -> DataFrame:
     """Those of nodes that no other of nodes descends from."""
-    reach = ancestors_of(edges, nodes).where("node <> start")
-    return reach.sparkSession.createDataFrame([(n,) for n in nodes], f"node {edges.schema['child'].dataType.simpleString()}").join(reach, "node", "left_anti")
+    reach = reachable(edges, nodes).where("node <> start")
+    return _starts(edges, nodes).select("node").join(reach, "node", "left_anti")
 
 
 def revision_range(edges: DataFrame, include: list, exclude: list) -> DataFrame:
     """Ancestors-or-self of include that aren't ancestors-or-self of exclude (`A..B`)."""
-    shown = ancestors_of(edges, include).select("node").distinct()
-    return shown.join(ancestors_of(edges, exclude), "node", "left_anti") if exclude else shown
+    reach = reachable(edges, [*include, *exclude])
+    shown = reach.where(F.col("start").isin(include)).select("node").distinct()
+    return shown.join(reach.where(F.col("start").isin(exclude)), "node", "left_anti") if exclude else shown
 
 
 def symmetric_difference(edges: DataFrame, a, b) -> DataFrame:
     """Nodes reached from exactly one of a and b (`A...B`)."""
-    reach = ancestors_of(edges, [a, b])
-    return reach.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select("node")
+    return reachable(edges, [a, b]).groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select("node")
 
 
 def ahead_behind(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, ahead, behind) for pairs(a, b): commits that only a, and only b, reaches."""
+    """(a, b, ahead, behind) for pairs(a, b): commits that only a, and only b, reaches.
+
+    Counted by lines: of a line that a reaches up to one place and b up to another, the places between are
+    reached by one of them alone, so no ancestor is listed."""
+    pairs = pairs.select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reach = ancestors(edges, ends.withColumn("start", F.col("node"))).select("start", "node")
-    left = pairs.join(reach.withColumnRenamed("start", "a"), "a").select("a", "b", "node", F.lit(1).alias("l"), F.lit(0).alias("r"))
-    right = pairs.join(reach.withColumnRenamed("start", "b"), "b").select("a", "b", "node", F.lit(0).alias("l"), F.lit(1).alias("r"))
-    both = left.union(right).groupBy("a", "b", "node").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return both.groupBy("a", "b").agg(F.sum((F.col("l") > F.col("r")).cast("long")).alias("ahead"), F.sum((F.col("r") > F.col("l")).cast("long")).alias("behind"))
+    reach = Lines(edges).reached(ends.withColumn("start", F.col("node")))
+    side = lambda c: pairs.join(reach.select(F.col("start").alias(c), "line", (F.col("upto") + 1).alias("n")), c)
+    rows = side("a").select("a", "b", "line", F.col("n").alias("l"), F.lit(0).cast("long").alias("r")).union(side("b").select("a", "b", "line", F.lit(0).cast("long"), "n"))
+    both = rows.groupBy("a", "b", "line").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    count = lambda x, y: F.coalesce(F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0))), F.lit(0)).alias({"l": "ahead", "r": "behind"}[x])
+    counted = both.groupBy("a", "b").agg(count("l", "r"), count("r", "l"))
+    return pairs.join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("ahead", F.lit(0)).alias("ahead"), F.coalesce("behind", F.lit(0)).alias("behind"))
 
 
 def generations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): length of the longest way down to a root.  Peels nodes whose parents all have a level; a cycle raises."""
-    waiting = nodes.select("node").distinct()
-    links = edges.select(F.col("child").alias("node"), "parent").distinct().join(waiting.select(F.col("node").alias("parent")), "parent", "left_semi")
-    done, level = None, 0
-    while not waiting.isEmpty():
-        ready = staged(waiting.join(links, "node", "left_anti").withColumn("level", F.lit(level)), "ready")
-        if ready.isEmpty():
-            raise ValueError("the graph has a cycle")
-        done = ready if done is None else done.union(ready)
-        waiting = staged(waiting.join(ready, "node", "left_anti"), "waiting")
-        links = staged(links.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti"), "links")
-        level += 1
-    return done if done is not None else nodes.select("node", F.lit(0).alias("level"))
+    """(node, level): length of the longest way down to a root.  Peels segments whose parents all have a level; a cycle raises."""
+    spark = nodes.sparkSession
+    nodes = staged(nodes.select("node").distinct(), "nodes")
+    known = edges.select("child", "parent").distinct().join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
+    known = staged(known, "known")
+    lone = known.groupBy("child").agg(F.count("*").alias("n"), F.max("parent").alias("next")).where("n = 1").select(F.col("child").alias("node"), "next")
+    lone = lone.join(known.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select(F.col("parent").alias("next")), "next", "left_semi").where("node <> next")
+    places = lines(nodes, lone.select("node", "next"))
+    # all parents of a segment's last node are the first nodes of theirs
+    size = places.groupBy("line").agg(F.max("place").alias("size"))
+    links = known.join(places.where("place = 0").select(F.col("node").alias("child"), F.col("line").alias("upper")), "child").join(places.select(F.col("node").alias("parent"), F.col("line").alias("lower")), "parent")
+    links = staged(links.groupBy("upper", "lower").agg(F.count("*").alias("times")).select("upper", "lower"), "links")
+    waiting = size.join(links.groupBy(F.col("upper").alias("line")).agg(F.count("*").alias("missing")), "line", "left").select("line", "size", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).cast("long").alias("level"))
+    waiting, path, ready, total = _staged_sum(waiting, "waiting", (F.col("missing") == 0).cast("long"))
+    done = []
+    while ready:
+        total -= ready
+        done.append((waiting.where("missing = 0").select("line", "level"), path))
+        up = waiting.where("missing = 0").select(F.col("line").alias("lower"), (F.col("level") + F.col("size") + 1).alias("above")).join(links, "lower").groupBy(F.col("upper").alias("line")).agg(F.count("*").alias("met"), F.max("above").alias("above"))
+        rest = waiting.where("missing > 0").join(up, "line", "left").select("line", "size", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing"), F.greatest("level", F.coalesce("above", F.lit(0))).alias("level"))
+        waiting, path, ready, _ = _staged_sum(rest, "waiting", (F.col("missing") == 0).cast("long"))
+        if len(done) == MOST_PARTS:  # earlier levels become one table, so few are read in the end
+            whole, at, _ = staged_counted(_union([part for part, _ in done]), "levels")
+            removed(spark, *(p for _, p in done))
+            done = [(whole, at)]
+    if total:
+        raise ValueError("the graph has a cycle")
+    levels = _union([part for part, _ in done]) if done else waiting.select("line", "level")
+    return places.join(levels, "line").select("node", (F.col("level") + F.col("place")).cast("int").alias("level"))
 
 
 def resolve_symbolic(refs: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -112,14 +275,14 @@ def resolve_symbolic(refs: DataFrame, max_depth: int = 10) -> DataFrame:
 
 def fork_point(edges: DataFrame, log: DataFrame, ref_node, node) -> DataFrame:
     """The newest entry of log(version, node) that node descends from; else the merge bases of node and the ref."""
-    reach = ancestors_of(edges, [node]).select("node")
+    reach = reachable(edges, [node]).select("node")
     hit = log.join(reach, "node", "left_semi").orderBy(F.desc("version")).limit(1).select("node")
     return merge_bases(edges, ref_node, node) if hit.isEmpty() else hit
 
 
 def between(edges: DataFrame, start, end) -> DataFrame:
     """Nodes reached from end without passing start, start left out; none if start isn't reached."""
-    reach = ancestors_of(edges.where(F.col("child") != start), [end])
+    reach = reachable(edges.where(F.col("child") != start), [end])
     met = reach.where(F.col("node") == start).select(F.lit(True).alias("met")).limit(1)
     return reach.where(F.col("node") != start).join(F.broadcast(met), F.lit(True), "left_semi").select("node")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import text
+from chronolake.operators.storage import numbered
 
 
 def half_up_percent(part: Column, whole: Column) -> Column:
@@ -78,12 +81,56 @@ def log(commits: DataFrame, author: str | None = None, since: str | None = None,
     return out if limit is None else out.limit(limit)
 
 
-def formatted(commits: DataFrame, form: str = "%h %s") -> DataFrame:
-    """(k, line): placeholders %H %h %an %ae %ad %s %b, replaced in one pass."""
-    values = {"%H": F.col("sha"), "%h": F.left("sha", F.lit(7)), "%an": F.col("author_name"), "%ae": F.col("author_email"), "%ad": F.date_format("author_date", "yyyy-MM-dd HH:mm:ss"), "%s": text.subject(F.col("message")), "%b": text.body(F.col("message"))}
-    import re
+def matching(commits: DataFrame, name: str | None = None, author: str | None = None, committer: str | None = None, after: str | None = None, before: str | None = None, grep: str | None = None, merges: bool | None = None) -> DataFrame:
+    """Commits by exact author name; by a part of the author's or committer's name or address, or a pattern where it begins with ^, in any case; after and before are exclusive; grep is a pattern over the message."""
+
+    def person(who: str, wanted: str) -> Column:
+        fits = (lambda c: F.col(c).rlike(f"(?i){wanted}")) if wanted.startswith("^") else (lambda c: F.lower(c).contains(wanted.lower()))
+        return fits(f"{who}_name") | fits(f"{who}_email")
+
+    tests = [
+        None if name is None else F.col("author_name") == name, None if author is None else person("author", author), None if committer is None else person("committer", committer),
+        None if after is None else F.col("author_date") > F.lit(after).cast("timestamp"), None if before is None else F.col("author_date") < F.lit(before).cast("timestamp"),
+        None if grep is None else F.col("message").rlike(grep), None if merges is None else (F.size("parents") > 1) == merges,
+    ]
+    out = commits
+    for test in tests:
+        out = out if test is None else out.where(test)
+    return out
+
+
+def touching(commits: DataFrame, files: DataFrame, include: list[str], exclude: list[str] = ()) -> DataFrame:
+    """Commits that change a path that the patterns take in."""
+    return commits.join(files.where(text.path_specs(F.col("path"), include, exclude)).select("k"), "k", "left_semi")
+
+
+def first_met(commits: DataFrame, reached: DataFrame, most: int) -> DataFrame:
+    """commits among reached(node, depth), nearest first and of a level the newest key first; the first most of them."""
+    return commits.join(reached.groupBy(F.col("node").alias("k")).agg(F.min("depth").alias("depth")), "k").orderBy("depth", F.desc("k")).limit(most)
+
+
+def limited(commits: DataFrame, reached: DataFrame, most: int) -> DataFrame:
+    """The first most commits by distance, then newest first, with has_more: whether there were others."""
+    found = first_met(commits, reached, most + 1).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("depth", F.desc("k"))))  # most + 1 rows
+    return found.withColumn("has_more", F.max("place").over(Window.partitionBy(F.lit(0))) > most).where(F.col("place") <= most).drop("place").orderBy(F.desc("author_date"), F.desc("k"))
+
+
+def topological(commits: DataFrame, levels: DataFrame) -> DataFrame:
+    """(k, place): children before parents, as a child's level is above those of its parents; of a level the newest first."""
+    rows = commits.select("k", "author_date").join(levels.withColumnRenamed("node", "k"), "k")
+    return numbered(rows, [F.desc("level"), F.desc("author_date"), F.desc("k")], "place").select("k", "place")
+
 
-    parts = [values.get(p, F.lit(p)) for p in re.split("(%an|%ae|%ad|%H|%h|%s|%b)", form) if p]
+def formatted(commits: DataFrame, form: str = "%h %s", parent_sha=None) -> DataFrame:
+    """(k, line): placeholders %H %h %an %ae %ad %cn %ce %s %b %P, replaced in one pass; the date is the author's; parent_sha gives the sha of a parent key."""
+    body = F.regexp_replace(text.body(F.col("message")), r"\A(?:[ \t]*\n)+", "")
+    values = {
+        "%H": F.col("sha"), "%h": F.left("sha", F.lit(7)), "%an": F.col("author_name"), "%ae": F.col("author_email"), "%ad": F.date_format("author_date", "yyyy-MM-dd HH:mm:ss"), "%cn": F.col("committer_name"), "%ce": F.col("committer_email"),
+        "%s": text.subject(F.col("message")), "%b": body,
+    }
+    if parent_sha:
+        values["%P"] = F.array_join(F.transform("parents", parent_sha), " ")
+    parts = [values.get(p, F.lit(p)) for p in re.split("(%an|%ae|%ad|%cn|%ce|%H|%h|%s|%b|%P)", form) if p]
     return commits.select("k", F.concat(*parts).alias("line"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.functions import text
+from chronolake.operators.storage import numbered
 
 #: No status follows these.
 TERMINAL = ["merged"]
@@ -35,13 +36,23 @@ def default_branch(refs: DataFrame, stored: str | None = None) -> DataFrame:
 
 
 def advertised(refs: DataFrame) -> DataFrame:
-    """(place, name): HEAD first, then all refs by name; refs of one repository are few enough for one order."""
-    from pyspark.sql import Window
-
-    return refs.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("name") == "HEAD", 0).otherwise(1), "name")).alias("place"), "name")
+    """(place, name): HEAD first, then all refs by name."""
+    return numbered(refs.select("name"), [F.col("name") != "HEAD", F.col("name")], "place").select("place", "name")
 
 
 def request_status(events: DataFrame) -> DataFrame:
     """(pr, status, updates) of events(pr, id, status): the first terminal status, else the last."""
     end = F.min(F.when(F.col("status").isin(TERMINAL), F.struct("id", "status")))
     return events.groupBy("pr").agg(F.coalesce(end["status"], F.max_by("status", "id")).alias("status"), F.count("*").alias("updates"))
+
+
+def created(refs: DataFrame, new: DataFrame) -> DataFrame:
+    """refs with new(name, target, force) whose names are valid; one that is taken is replaced only by force."""
+    ok = new.where(text.valid_ref_name(F.col("name"))).join(refs.select("name", F.lit(True).alias("taken")), "name", "left").where("taken is null or force").select("name", "target")
+    return upserted(refs, ok)
+
+
+def loose_over_packed(loose: DataFrame, packed: DataFrame) -> DataFrame:
+    """(name, sha) of both, the loose one of a name that both have."""
+    both = loose.select("name", "sha", F.lit(1).alias("rank")).union(packed.select("name", "sha", F.lit(0)))
+    return both.groupBy("name").agg(F.max_by("sha", "rank").alias("sha"))

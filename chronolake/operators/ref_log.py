@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.storage import numbered
+
 
 def changes(log: DataFrame) -> DataFrame:
     """(ref_name, new_sha, version): the last entry of each ref, deletions included."""
@@ -72,3 +74,28 @@ def applied(current: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The new state after accepted commands; the old snapshot is left as it is."""
     taken = verdicts.where("ok").select("ref_name", "new_sha")
     return current.select("ref_name", "new_sha").join(taken, "ref_name", "left_anti").union(taken.where("new_sha <> ''"))
+
+
+def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """log(version, ref_name, new_sha) with entries(ref_name, new_sha), numbered on from its last version in order of name."""
+    last = log.agg(F.coalesce(F.max("version"), F.lit(0)).alias("last"))  # one row
+    rows = numbered(entries.select("ref_name", "new_sha"), [F.col("ref_name")], "nth").join(F.broadcast(last))
+    return log.select("version", "ref_name", "new_sha").union(rows.select((F.col("last") + F.col("nth")).cast("long"), "ref_name", "new_sha"))
+
+
+def merge_status(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> str:
+    """What a merge of theirs into ours comes to: up-to-date, fast-forward, merged or conflicted."""
+    side = fast_forward(ours, theirs)
+    if theirs.isEmpty():
+        return "up-to-date"
+    if side == "theirs":
+        return "fast-forward"
+    return "merged" if three_way(base, ours, theirs).where("outcome in ('divergent', 'delete-update')").isEmpty() else "conflicted"
+
+
+def flushed(log: DataFrame, folder: str) -> str:
+    """Writes the whole log below folder, named by its last version; the path."""
+    last = log.agg(F.max("version")).first()[0] or 0
+    path = f"{folder}/ref-log/{last}.parquet"
+    log.write.mode("overwrite").parquet(path)
+    return path

@@ -1,4 +1,4 @@
-"""Search, status, mirrors, tag peeling, as-of look-ups and approximate membership."""
+"""Search, status, mirrors, tag peeling and as-of look-ups."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import text
+from chronolake.sources.staging import staged_counted
 
+#: A chain of more tags can only be a loop.
+MOST_TAGS = 1000
 
-def search(commits: DataFrame, refs: DataFrame, words: str, most: int = 20) -> DataFrame:
-    """(kind, id, title): commits by message or author, branches and tags by name, that contain words in any case."""
+
+def search(commits: DataFrame, refs: DataFrame, words: str, most: int | None = None) -> DataFrame:
+    """(kind, id, title): commits by message or author, branches and tags by name, that contain words in any case; the first most, or all."""
     has = lambda c: F.contains(F.lower(c), F.lit(words.lower()))
     found = commits.where(has("message") | has("author_name")).select(F.lit("commit").alias("kind"), F.left("sha", F.lit(7)).alias("id"), text.subject(F.col("message")).alias("title"))
     named = refs.where(F.col("name").rlike("^refs/(heads|tags)/") & has("name")).select(text.ref_kind(F.col("name")).alias("kind"), text.short_ref(F.col("name")).alias("id"), F.col("name").alias("title"))
-    return found.union(named).orderBy("kind", "title", "id").limit(most)
+    out = found.union(named)
+    return out if most is None else out.orderBy("kind", "title", "id").limit(most)
 
 
 def status(head: DataFrame, index: DataFrame, work: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,12 +38,17 @@ def mirror_plan(remote: DataFrame, local: DataFrame, strategy: str = "source-win
     return rows.select("name", F.when(F.col("l").isNull(), "create").when(F.col("l") == F.col("r"), "skip").otherwise(otherwise).alias("action"))
 
 
-def peeled(refs: DataFrame, tags: DataFrame, hops: int = 3) -> DataFrame:
-    """(name, target, peeled): refs(name, target) with what an annotated tag(sha, object) finally names."""
+def peeled(refs: DataFrame, tags: DataFrame) -> DataFrame:
+    """(name, target, peeled): refs(name, target) with what an annotated tag(sha, object) finally names, however long the chain; tags that name each other raise."""
     out = refs.select("name", "target", F.col("target").alias("peeled"))
     steps = tags.select(F.col("sha").alias("at"), "object")
-    for _ in range(hops):
-        out = out.join(steps, F.col("peeled") == F.col("at"), "left").select("name", "target", F.coalesce("object", "peeled").alias("peeled"))
+    rounds, open_tags = 0, 1
+    while open_tags:
+        out, _, _ = staged_counted(out.join(steps, F.col("peeled") == F.col("at"), "left").select("name", "target", F.coalesce("object", "peeled").alias("peeled")), "peeled")
+        open_tags = out.join(steps, F.col("peeled") == F.col("at"), "left_semi").limit(1).count()
+        rounds += 1
+        if rounds > MOST_TAGS:
+            raise ValueError("tags name each other")
     return out
 
 
@@ -53,22 +63,3 @@ def changes_since(log: DataFrame, version: int, most: int = 1000) -> DataFrame:
     """The next page of a log after a consumer's version."""
     return log.where(F.col("version") > version).orderBy("version").limit(most)
 
-
-BLOOM_BITS = 1 << 16
-
-
-def bloom_words(keys: DataFrame, key: str, bits: int = BLOOM_BITS, hashes: int = 3) -> DataFrame:
-    """A Bloom filter as (word, bits) rows, at most bits / 64 of them: double hashing, combined with bit_or."""
-    places = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.xxhash64(key, F.lit(1)) + F.hash(key).cast("long") * i.cast("long"), F.lit(bits)))
-    rows = keys.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
-    return rows.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
-def maybe_in(rows: DataFrame, key: str, filter_words: DataFrame, bits: int = BLOOM_BITS, hashes: int = 3) -> DataFrame:
-    """rows whose key may be in the filter: false ones are surely absent.  The filter has bits / 64 rows at most, so it is broadcast."""
-    places = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.xxhash64(key, F.lit(1)) + F.hash(key).cast("long") * i.cast("long"), F.lit(bits)))
-    # each place is looked up on its own: a row with all of its bits set stays
-    wanted = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("p", F.explode(places))
-    hit = wanted.join(F.broadcast(filter_words), F.shiftright("p", 6) == F.col("word")).where(F.expr("getbit(bits, cast(p % 64 as int)) = 1"))
-    kept = hit.groupBy("row").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in rows.columns]).where(F.col("n") == hashes)
-    return kept.select(rows.columns)

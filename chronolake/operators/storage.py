@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import text
+from chronolake.sources.staging import staged
 
 INLINE_BYTES = 1 << 20
 LFS_PREFIX = "version https://git-lfs.github.com/spec/v1"
@@ -73,26 +77,48 @@ def first_tier(wanted: DataFrame, tiers: list[tuple[str, DataFrame]]) -> DataFra
     return wanted.join(best, "key", "left").select("key", "hit.tier", "hit.value")
 
 
-def packed(objects: DataFrame, group: str, max_bytes: int, run: int = 10_000) -> DataFrame:
-    """Adds (run, pack): objects(group, id, size) in order of id are cut into packs of at most max_bytes, a larger object alone.
+def packed(objects: DataFrame, group: str, max_bytes: int) -> DataFrame:
+    """Adds pack: objects(group, id, size) in order of id are cut into packs of at most max_bytes, a larger object alone.
+
+    A pack starts where the one before is full, so the rows of a group are walked in order; the walk streams
+    over sorted partitions and holds one batch and the state of one group."""
+    columns = [group, "id", "size"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, number = None, 0, -1
+        for pdf in batches:
+            packs = []
+            for name, size in zip(pdf[group], pdf["size"], strict=True):
+                if name != now:
+                    now, used, number = name, 0, 0
+                elif used > 0 and used + size > max_bytes:
+                    used, number = 0, number + 1
+                used += size
+                packs.append(number)
+            yield pdf.assign(pack=packs)
 
-    A pack starts where the one before is full, so sizes are folded in order.  Packs also end at every
-    multiple of run in id, which bounds what is folded in one task, however large a group is."""
-    rows = objects.withColumn("run", F.floor(F.col("id") / run).cast("long")).groupBy(group, "run").agg(F.array_sort(F.collect_list(F.struct("id", "size"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("packs"))
+    rows = objects.select(*columns).repartition(group).sortWithinPartitions(group, "id")
+    return rows.mapInPandas(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "pack long"]))
 
-    def step(acc, row):
-        cut = (acc["used"] > 0) & (acc["used"] + row["size"] > max_bytes)
-        pack = acc["pack"] + cut.cast("long")
-        return F.struct(pack.alias("pack"), F.when(cut, row["size"]).otherwise(acc["used"] + row["size"]).alias("used"), F.concat(acc["packs"], F.array(pack)).alias("packs"))
 
-    folded = rows.select(group, "run", "rows", F.aggregate("rows", start, step)["packs"].alias("packs"))
-    return folded.select(group, "run", F.explode(F.arrays_zip("rows", "packs")).alias("z")).select(group, "z.rows.id", "z.rows.size", "run", F.col("z.packs").alias("pack"))
+def numbered(rows: DataFrame, order: list, name: str, within: list[str] = ()) -> DataFrame:
+    """rows with their number (from 1) in an order of all rows, or within the columns of within.
+
+    Ranges of the order are numbered where they lie, and the rows before each range are added, so no task
+    holds more than a range; ties are numbered in any order."""
+    ranged = rows.repartitionByRange(*(F.col(c) for c in within), *order).withColumn("range_id", F.spark_partition_id())
+    ranged = staged(ranged, "ranges")
+    here = Window.partitionBy("range_id", *within).orderBy(*order)
+    counts = ranged.groupBy("range_id", *within).agg(F.count("*").alias("rows_here"))  # a row for each range and group
+    before = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    offsets = counts.withColumn("rows_before", F.coalesce(F.sum("rows_here").over(before.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows_here")
+    out = ranged.withColumn("place_here", F.row_number().over(here)).join(offsets, ["range_id", *within])
+    return out.withColumn(name, (F.col("place_here") + F.col("rows_before")).cast("int")).drop("range_id", "place_here", "rows_before")
 
 
 def pack_order(objects: DataFrame) -> DataFrame:
     """Adds place: within each kind of objects(kind, id, size) the larger first, as deltas are sought among neighbours."""
-    return objects.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("size"), "id")))
+    return numbered(objects, [F.desc("size"), F.col("id")], "place", ["kind"])
 
 
 def chunk_ranges(objects: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
@@ -114,3 +140,68 @@ def by_prefix(objects: DataFrame, prefix: str) -> DataFrame:
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where("nth = 1").drop("nth")
+
+
+def by_type(objects: DataFrame, kind: str, most: int = 10_000) -> DataFrame:
+    """The newest objects(sha, type, created) of a type."""
+    return objects.where(F.col("type") == kind).orderBy(F.desc("created"), "sha").limit(most)
+
+
+def reachable_objects(commits: DataFrame, entries: DataFrame, tags: DataFrame) -> DataFrame:
+    """(sha, type) of commits(commit, tree), their trees, the blobs of those by entries(tree, blob), and tags(tag, object)."""
+    kind = lambda df, sha, name: df.select(F.col(sha).alias("sha"), F.lit(name).alias("type"))
+    blobs = entries.join(commits.select("tree").distinct(), "tree", "left_semi").select("blob").distinct()
+    return kind(commits.select("commit").distinct(), "commit", "commit").union(kind(commits.select("tree").distinct(), "tree", "tree")).union(kind(blobs, "blob", "blob")).union(kind(tags, "tag", "tag"))
+
+
+def swept(objects: DataFrame, live: DataFrame, now: str, grace_days: int = 14) -> DataFrame:
+    """(sha, type, action) of objects(sha, type, created): live if reached, grace if newer than grace_days, else delete."""
+    rows = objects.join(live.select("sha", F.lit(True).alias("is_live")).distinct(), "sha", "left")
+    young = F.col("created") > F.lit(now).cast("timestamp") - F.expr(f"interval {grace_days} days")
+    return rows.select("sha", "type", F.when(F.col("is_live"), "live").when(young, "grace").otherwise("delete").alias("action"))
+
+
+def roots(commits: DataFrame, entries: DataFrame, tags: DataFrame) -> DataFrame:
+    """(sha, type) of the tags and commits that no tag names: what an ordering of objects by their dependencies begins with."""
+    lone = commits.join(tags.select(F.col("object").alias("commit")), "commit", "left_anti")
+    return tags.select(F.col("tag").alias("sha"), F.lit("tag").alias("type")).union(lone.select(F.col("commit").alias("sha"), F.lit("commit").alias("type")))
+
+
+def buffered(wanted: DataFrame, buffer: DataFrame, files: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(key, value) of wanted(key): null if deleted, else from buffer(key, value), else from the newest of files(key, value, file)."""
+    newest = files.groupBy("key").agg(F.max_by("value", "file").alias("stored"))
+    rows = wanted.join(tombstones.select("key", F.lit(True).alias("gone")).distinct(), "key", "left").join(buffer.withColumnRenamed("value", "held"), "key", "left").join(newest, "key", "left")
+    return rows.select("key", F.when(F.col("gone").isNull(), F.coalesce("held", "stored")).alias("value"))
+
+
+def hot_keys(accesses: DataFrame, least: int) -> DataFrame:
+    """(key, accesses) of keys with at least so many."""
+    return accesses.groupBy("key").agg(F.count("*").alias("accesses")).where(F.col("accesses") >= least)
+
+
+def access_totals(accesses: DataFrame) -> DataFrame:
+    """One row: reads, writes, distinct keys, mean latency, and accesses a second between the first and the last."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return accesses.agg(
+        F.count_if(~F.col("is_write")).alias("reads"), F.count_if("is_write").alias("writes"), F.count_distinct("key").alias("objects"), (F.sum(F.col("latency").cast("decimal(18,2)")) / F.count("*")).cast("double").alias("mean_latency"),
+        (F.count("*").cast("double") / ((us(F.max("ts")) - us(F.min("ts"))) / F.lit(1_000_000))).alias("per_second"),
+    )
+
+
+def tier_hits(reads: DataFrame) -> DataFrame:
+    """(tier, reads, objects, percentage) of reads(key, tier): how many of all reads a tier served."""
+    rows = reads.groupBy("tier").agg(F.count("*").alias("reads"), F.count_distinct("key").alias("objects"))
+    whole = F.sum("reads").over(Window.partitionBy(F.lit(0)))  # a row for each tier
+    return rows.withColumn("percentage", F.floor(F.col("reads") * 1000.0 / whole + 0.5) / 10.0)
+
+
+def bundle_stats(objects: DataFrame, small: int) -> DataFrame:
+    """(bundle, objects, bytes, live_bytes, to_compact) of objects(bundle, id, size, is_deleted)."""
+    live = F.coalesce(F.sum(F.when(~F.col("is_deleted"), F.col("size"))), F.lit(0))
+    return objects.groupBy("bundle").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"), live.alias("live_bytes")).withColumn("to_compact", F.col("bytes") < small)
+
+
+def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(sha, change) of two indexes(sha): added, removed or unchanged."""
+    both = old.select("sha", F.lit(1).alias("o")).join(new.select("sha", F.lit(1).alias("n")), "sha", "full_outer")
+    return both.select("sha", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("unchanged").alias("change"))

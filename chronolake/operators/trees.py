@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.functions.messages import tree_order
+from chronolake.functions.text import positional_similarity
+from chronolake.sources.staging import staged_counted
 
 def tree_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, status, old_blob, new_blob) of trees(keys, path, blob, mode): A, D, T (other mode kind), M."""
@@ -38,6 +41,20 @@ def exact_copies(diff: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return diff.where("status = 'A'").select(*keys, F.col("new_blob").alias("blob"), F.col("path").alias("new_path")).join(source, [*keys, "blob"]).select(*keys, "new_path", "source_path")
 
 
+def similar_pairs(old: DataFrame, new: DataFrame, key: str, threshold: int = 50) -> DataFrame:
+    """(key, old_path, new_path, similarity) of old and new(key, path, content) of a key (a commit) that are similar enough.
+
+    A similarity that rounds to 50 or more needs lengths within a factor of 2.03, so only texts whose lengths
+    are in the same or neighbouring powers of 2.1 meet; threshold must be 50 or more."""
+    if threshold < 50:
+        raise ValueError("texts whose lengths differ by more than a factor of two don't meet")
+    power = F.floor(F.log(2.1, F.length("content") + 1)).cast("int")
+    left = old.select(key, F.col("path").alias("old_path"), F.col("content").alias("a"), F.explode(F.array(power - 1, power, power + 1)).alias("power"))
+    right = new.select(key, F.col("path").alias("new_path"), F.col("content").alias("b"), power.alias("power"))
+    pairs = left.join(right, [key, "power"]).where("203 * least(length(a), length(b)) >= 100 * greatest(length(a), length(b))")
+    return pairs.select(key, "old_path", "new_path", positional_similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def similar_renames(candidates: DataFrame, key: str, threshold: int = 50) -> DataFrame:
     """candidates(key, old_path, new_path, similarity): greedy in order of old path, each side once, best similarity first.
 
@@ -56,6 +73,39 @@ def similar_renames(candidates: DataFrame, key: str, threshold: int = 50) -> Dat
     return candidates.groupBy(key).applyInPandas(run, candidates.select(key, "old_path", "new_path", "similarity").schema)
 
 
+def renames(old: DataFrame, new: DataFrame, key: str, threshold: int = 50) -> DataFrame:
+    """(key, old_path, new_path, similarity) of paths that left old and came to new(key, path, blob, content): equal blobs first, then similar texts."""
+    gone = old.join(new.select(key, "path"), [key, "path"], "left_anti")
+    come = new.join(old.select(key, "path"), [key, "path"], "left_anti")
+    nth = lambda df, c: df.select(key, "blob", F.col("path").alias(c), F.row_number().over(Window.partitionBy(key, "blob").orderBy("path")).alias("nth"))
+    exact = nth(gone, "old_path").join(nth(come, "new_path"), [key, "blob", "nth"]).select(key, "old_path", "new_path", F.lit(100).alias("similarity"))
+    left = gone.join(exact.select(key, F.col("old_path").alias("path")), [key, "path"], "left_anti")
+    right = come.join(exact.select(key, F.col("new_path").alias("path")), [key, "path"], "left_anti")
+    return exact.union(similar_renames(similar_pairs(left, right, key, threshold), key, threshold))
+
+
+def similar_copies(old: DataFrame, new: DataFrame, key: str, threshold: int = 50) -> DataFrame:
+    """(key, new_path, source_path, similarity): for each path that came to new, the most similar path of old, the first of equals."""
+    come = new.join(old.select(key, "path"), [key, "path"], "left_anti")
+    best = F.min_by(F.struct("old_path", "similarity"), F.struct(-F.col("similarity"), "old_path")).alias("best")
+    return similar_pairs(old, come, key, threshold).groupBy(key, "new_path").agg(best).select(key, "new_path", F.col("best.old_path").alias("source_path"), "best.similarity")
+
+
+def followed(starts: DataFrame, parents: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(start, start_path, k, path, step): starts(k, path) followed back along first parents(child, parent), by the names that
+    renamed(k, old_path, new_path) says a path had before; a commit each round, for all starts at once."""
+    at = starts.select(F.col("k").alias("start"), F.col("path").alias("start_path"), "k", "path", F.lit(0).alias("step"))
+    links = parents.select(F.col("child").alias("k"), F.col("parent").alias("next"))
+    names = renamed.select("k", F.col("new_path").alias("path"), F.col("old_path").alias("before")).dropDuplicates(["k", "path"])
+    at, _, left = staged_counted(at, "followed")
+    out = at
+    while left:
+        before = at.join(names, ["k", "path"], "left").join(links, "k").select("start", "start_path", F.col("next").alias("k"), F.coalesce("before", "path").alias("path"), (F.col("step") + 1).alias("step"))
+        at, _, left = staged_counted(before, "followed")
+        out = out.union(at)
+    return out
+
+
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, result, blob): ours, theirs, same or deleted with the merged blob; or add-add, modify-delete, delete-modify, content without one."""
     side = lambda df, n: df.select(*keys, "path", F.col("blob").alias(n))
@@ -72,25 +122,41 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[st
     return rows.select(*on, "result", blob.alias("blob"))
 
 
-def flatten(trees: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root, path, sha, mode) of all blobs below roots(root), from entries trees(tree, name, sha, mode); by level."""
+def flatten(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, path, sha, mode) of all blobs below roots(root), from entries trees(tree, name, sha, mode); by level, however many."""
     level = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix"))
-    out = None
-    for _ in range(max_depth):
-        rows = level.join(trees, "tree").select("root", F.concat("prefix", "name").alias("path"), "sha", "mode")
+    out, left = None, 1
+    while left:
+        rows, _, left = staged_counted(level.join(trees, "tree").select("root", F.concat("prefix", "name").alias("path"), "sha", "mode"), "level")
         files = rows.where("mode not in ('040000', '40000')")
         out = files if out is None else out.union(files)
         level = rows.where("mode in ('040000', '40000')").select("root", F.col("sha").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
-        if level.isEmpty():
-            break
     return out
 
 
+def resolve_path(trees: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(root, path, sha, mode) of wanted(root, path), component by component; sha and mode are null where there is no such entry."""
+    parts = F.split("path", "/")
+    found = wanted.select("root", "path", F.col("root").alias("sha"), F.lit("040000").alias("mode"))
+    depth = wanted.agg(F.max(F.size(parts))).first()[0] or 0
+    steps = trees.select("tree", "name", F.col("sha").alias("next"), F.col("mode").alias("next_mode"))
+    for i in range(depth):  # as many as the longest path has components
+        here = found.withColumn("name", F.get(parts, F.lit(i)))
+        found = here.join(steps, (F.col("sha") == F.col("tree")) & (here["name"] == steps["name"]), "left").select("root", "path", F.when(here["name"].isNull(), F.col("sha")).otherwise(F.col("next")).alias("sha"), F.when(here["name"].isNull(), F.col("mode")).otherwise(F.col("next_mode")).alias("mode"))
+    return found
+
+
+def _entries(entries: Column) -> Column:
+    """The lines of collected (key, entry) structs in the order of tree entries, joined; key is the name, with / for directories."""
+    return F.array_join(F.transform(F.array_sort(entries), lambda e: e["entry"]), "\n")
+
+
 def directory_ids(tree: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, directory, id): a hash of the sorted entries of each directory that holds files."""
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    entry = F.concat_ws(" ", "mode", F.substring_index("path", "/", -1), "blob")
-    return tree.groupBy(*keys, folder.alias("directory")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list(entry)), "\n").cast("binary")).alias("id"))
+    name = F.substring_index("path", "/", -1)
+    entry = F.struct(tree_order(name, F.col("mode")).alias("key"), F.concat_ws(" ", "mode", name, "blob").alias("entry"))
+    return tree.groupBy(*keys, folder.alias("directory")).agg(F.sha1(_entries(F.collect_list(entry)).cast("binary")).alias("id"))
 
 
 def shared_directories(ids: DataFrame) -> DataFrame:
@@ -104,7 +170,8 @@ def hierarchy(tree: DataFrame, keys: list[str]) -> DataFrame:
 
     A directory's id hashes its sorted entries, subdirectories as `040000 name id`, so equal subtrees share ids."""
     parent = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
-    files = tree.select(*keys, "path", parent(F.col("path")).alias("directory"), F.concat_ws(" ", "mode", F.substring_index("path", "/", -1), "blob").alias("entry"))
+    line = lambda mode, name, sha: F.struct(tree_order(name, mode).alias("key"), F.concat_ws(" ", mode, name, sha).alias("entry")).alias("entry")
+    files = tree.select(*keys, "path", parent(F.col("path")).alias("directory"), line(F.col("mode"), F.substring_index("path", "/", -1), F.col("blob")))
     depth = F.when(F.col("directory") == "", 0).otherwise(F.size(F.split("directory", "/")))
     files = files.withColumn("depth", depth)
     deepest = files.agg(F.max("depth")).first()[0]
@@ -112,12 +179,29 @@ def hierarchy(tree: DataFrame, keys: list[str]) -> DataFrame:
     for level in range(deepest or 0, -1, -1):
         entries = files.where(F.col("depth") == level).select(*keys, "directory", "entry")
         if below is not None:
-            entries = entries.union(below.select(*keys, parent(F.col("directory")).alias("directory"), F.concat_ws(" ", F.lit("040000"), F.substring_index("directory", "/", -1), "id").alias("entry")))
-        below = entries.groupBy(*keys, "directory").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("entry")), "\n").cast("binary")).alias("id"), F.count("*").alias("entries"))
+            entries = entries.union(below.select(*keys, parent(F.col("directory")).alias("directory"), line(F.lit("040000"), F.substring_index("directory", "/", -1), F.col("id"))))
+        below = entries.groupBy(*keys, "directory").agg(F.sha1(_entries(F.collect_list("entry")).cast("binary")).alias("id"), F.count("*").alias("entries"))
         out = below if out is None else out.union(below)
     return out
 
 
 def moved_directory(tree: DataFrame, old: str, new: str) -> DataFrame:
     """The tree after a directory was renamed: every path beneath it follows."""
-    return tree.withColumn("path", F.when(F.col("path").startswith(f"{old}/"), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))).otherwise(F.col("path")))
+    return tree.withColumn("path", F.when(F.col("path").startswith(f"{old}/"), F.concat(F.lit(new), F.substr("path", F.lit(len(old) + 1)))).otherwise(F.col("path")))
+
+
+def index_diff(tree: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, status) of a tree against the entries of index(keys, path, blob, mode, stage) that have no conflict (stage 0): A, D or M."""
+    found = tree_diff(tree, index.where("stage = 0"), keys)
+    return found.select(*keys, "path", F.when(F.col("status") == "T", "M").otherwise(F.col("status")).alias("status"))
+
+
+def totals(diff: DataFrame, renames: DataFrame, copies: DataFrame, keys: list[str]) -> DataFrame:
+    """Added, deleted, modified, renamed and copied paths of each key; a rename counts once, and no more as added and deleted."""
+    mark = lambda df, c, name: df.select(*keys, F.col(c).alias("path"), F.lit(name).alias("mark"))
+    gone = mark(renames, "old_path", "gone").withColumn("status", F.lit("D"))
+    new = mark(renames, "new_path", "R").withColumn("status", F.lit("A")).union(mark(copies, "new_path", "C").withColumn("status", F.lit("A")))
+    marks = gone.union(new).groupBy(*keys, "path", "status").agg(F.max("mark").alias("mark"))  # R comes after C
+    kinds = diff.join(marks, [*keys, "path", "status"], "left").withColumn("kind", F.coalesce("mark", "status"))
+    one = lambda *s: F.sum(F.col("kind").isin(*s).cast("long"))
+    return kinds.groupBy(*keys).agg(one("A").alias("added"), one("D").alias("deleted"), one("M", "T").alias("modified"), one("R").alias("renamed"), one("C").alias("copied"))

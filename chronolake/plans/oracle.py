@@ -19,12 +19,14 @@ def _map(table: dict[str, str]) -> str:
 _PARENTS = "CASE WHEN {k} = 0 THEN [] WHEN {k} % 3 = 0 AND {k} // 2 <> {k} // 3 THEN [{k} // 2, {k} // 3] ELSE [{k} // 2] END"
 COMMITS = f"""commits AS (SELECT o_orderkey k, sha1('commit ' || o_orderkey) sha, sha1('tree ' || o_orderkey) tree_sha, c_name author_name,
   (CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE lower(c_name) END) || '@example.com' author_email, o_orderdate author_date,
-  o_orderpriority || chr(10) || 'order ' || o_orderkey message, o_orderstatus repository, {_PARENTS.format(k='o_orderkey')} parents FROM orders JOIN customer ON o_custkey = c_custkey)"""
+  o_orderpriority || chr(10) || 'order ' || o_orderkey message, o_orderstatus repository, {_PARENTS.format(k='o_orderkey')} parents,
+  'Committer#' || (o_orderkey % 97) committer_name, 'committer' || (o_orderkey % 97) || '@example.org' committer_email, o_orderdate + to_hours(o_orderkey % 5) committer_date, CASE WHEN o_orderkey % 11 = 0 THEN 'sig ' || o_orderkey END gpg_signature
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
 EDGES = """edges AS (SELECT o_orderkey child, o_orderkey // 2 parent, 0 ord FROM orders WHERE o_orderkey > 0
   UNION ALL SELECT o_orderkey, o_orderkey // 3, 1 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 3 = 0 AND o_orderkey // 2 <> o_orderkey // 3)"""
 FILES = f"""files AS (SELECT l_orderkey k, (CASE WHEN p_size = 50 THEN '' ELSE lower(p_type) || '/' || replace(lower(p_brand), '#', '') || '/' END) || replace(p_name, ' ', '_') || {_list(lake.EXTENSIONS)}[p_size % 8 + 1] AS path,
   CASE WHEN l_returnflag = 'A' THEN 'A' WHEN l_returnflag = 'N' THEN 'M' WHEN l_linestatus = 'F' THEN 'D' ELSE 'R' END change_type, p_size % 10 = 9 is_binary, l_quantity::INT added, floor(l_tax * 100)::INT removed,
-  p_size::BIGINT * 100 + l_quantity::BIGINT new_size, sha1('blob ' || l_partkey || ':' || l_suppkey) new_blob_sha, CASE WHEN l_suppkey % 7 = 0 THEN '100755' ELSE '100644' END AS mode, l_shipdate commit_date
+  p_size::BIGINT * 100 old_size, sha1('blob ' || l_partkey || ':0') old_blob_sha, p_size::BIGINT * 100 + l_quantity::BIGINT new_size, sha1('blob ' || l_partkey || ':' || l_suppkey) new_blob_sha, CASE WHEN l_suppkey % 7 = 0 THEN '100755' ELSE '100644' END AS mode, l_shipdate commit_date
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 TREES = FILES + ", trees AS (SELECT k, path, min(new_blob_sha) AS blob, min(mode) AS mode FROM files GROUP BY ALL)"
 REFS = """refs AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'refs/heads/' || lower(n_name) || '-' || s_suppkey WHEN 1 THEN 'refs/tags/v' || (s_suppkey % 3) || '.' || (s_suppkey % 11) || '.' || s_suppkey
@@ -41,7 +43,8 @@ OBJECTS = f"""raws AS (SELECT 'd' origin, doc_id id, encode(text) raw FROM docum
 REVIEWS = f"reviews AS (SELECT conv_id pr, turn id, role reviewer, {_list(lake.REVIEW_STATES)}[(conv_id + turn) % 3 + 1] AS state FROM conversations)"
 _STATE = "SELECT ref_name, arg_max(new_sha, version) new_sha, max(version) AS version FROM {log} GROUP BY ref_name"
 _EXT = r"nullif(regexp_extract({p}, '(\.[^./]*)$', 1), '')"
-_LANG = f"coalesce(({_map(text.DOTFILES)})[regexp_extract(path, '[^/]*$')], ({_map(text.LANGUAGES)})[lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]*)$', 1))])"
+_REST = r"regexp_replace(regexp_extract(path, '[^/]*$'), '^\.', '')"
+_LANG = f"coalesce(({_map(text.LANGUAGES)})[lower(regexp_extract({_REST}, '^.+\\.([^.]*)$', 1))], CASE WHEN starts_with(regexp_extract(path, '[^/]*$'), '.') THEN ({_map(text.DOTFILES)})[lower({_REST})] END)"
 _SUBJECT = "trim(split_part(message, chr(10), 1))"
 _BODY = r"trim(regexp_extract(message, '^[^\n]*\n((?s:.*))$', 1))"
 _SHORT = "regexp_replace(name, '^refs/(heads|tags|remotes|notes)/', '')"
@@ -198,7 +201,7 @@ _SWEEP = ORACLE["gc_sweep"]
 ORACLE["gc_summary"] = f"SELECT count(*) AS unreferenced, count(*) FILTER (action = 'delete') AS deleted, coalesce(sum(size) FILTER (action = 'delete'), 0)::BIGINT AS freed_bytes, count(*) FILTER (action = 'grace') AS skipped_grace FROM ({_SWEEP})"
 ORACLE["missing_objects"] = _reach(N, T, M) + f" SELECT DISTINCT node FROM reach JOIN orders ON o_orderkey = node AND o_orderstatus = 'O' WHERE start IN ({N}, {T}) AND node NOT IN (SELECT node FROM reach WHERE start = {M})"
 ORACLE["pr_page"] = f"SELECT * FROM ({ORACLE['review_state']}) ORDER BY pr DESC LIMIT 20 OFFSET 10"
-_DIRECTORY = f"WITH {TREES} SELECT k, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS directory, sha1(array_to_string(list_sort(list(mode || ' ' || regexp_extract(path, '[^/]*$') || ' ' || blob)), chr(10))) AS id FROM trees GROUP BY 1, 2"
+_DIRECTORY = f"WITH {TREES} SELECT k, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS directory, sha1(array_to_string(list(mode || ' ' || regexp_extract(path, '[^/]*$') || ' ' || blob ORDER BY regexp_extract(path, '[^/]*$')), chr(10))) AS id FROM trees GROUP BY 1, 2"
 ORACLE["directory_ids"] = _DIRECTORY
 ORACLE["shared_directories"] = f"SELECT id, count(*) AS uses FROM ({_DIRECTORY}) GROUP BY 1"
 ORACLE["similarity_scores"] = "WITH p AS (SELECT p_partkey, p_name n, 'small red widget' w FROM part) SELECT p_partkey, floor(100 * len(list_filter(range(1, 1 + least(length(n), length(w))), lambda i: n[i] = w[i])) / greatest(length(n), length(w)) + 0.5)::INT AS similarity FROM p"
@@ -214,7 +217,7 @@ ORACLE |= {
     "message_trailers": f"WITH {COMMITS} SELECT k, author_name AS reviewer, k::VARCHAR AS issue FROM commits",
     "refspec_expand": f"WITH {REFS} SELECT name, 'refs/remotes/up/' || substring(name, 12) AS mapped FROM refs WHERE name LIKE 'refs/heads/%'",
     "lsn_order": f"WITH {LOG} SELECT version, (epoch_us(ts) // 1000) * 65536 + version % 65536 AS lsn FROM log",
-    "search_all": f"WITH {COMMITS}, {REFS}, x AS (SELECT 'commit' AS kind, left(sha, 7) AS id, {_SUBJECT} AS title FROM commits WHERE contains(lower(message), 'nation_1') OR contains(lower(author_name), 'nation_1') UNION ALL SELECT {_KIND}, {_SHORT}, name FROM refs WHERE regexp_matches(name, '^refs/(heads|tags)/') AND contains(lower(name), 'nation_1')) SELECT * FROM x ORDER BY kind, title, id LIMIT 1000",
+    "search_all": f"WITH {COMMITS}, {REFS}, x AS (SELECT 'commit' AS kind, left(sha, 7) AS id, {_SUBJECT} AS title FROM commits WHERE contains(lower(message), 'nation_1') OR contains(lower(author_name), 'nation_1') UNION ALL SELECT {_KIND}, {_SHORT}, name FROM refs WHERE regexp_matches(name, '^refs/(heads|tags)/') AND contains(lower(name), 'nation_1')) SELECT * FROM x",
     "mirror_plan": f"WITH {REFS} SELECT name, CASE target % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'skip' ELSE 'update' END AS action FROM refs",
     "log_page": f"WITH {LOG} SELECT version, ref_name, new_sha FROM log WHERE version > {q.VERSION} ORDER BY version LIMIT 50",
     "working_tree_status": f"WITH {TREES} SELECT k, path, CASE WHEN path LIKE '%.go' THEN 'D' WHEN path LIKE '%.py' THEN 'M' END AS staged, CASE WHEN path LIKE '%.md' THEN 'D' WHEN path LIKE '%.ts' THEN 'M' END AS unstaged FROM trees WHERE regexp_matches(path, '\\.(go|py|md|ts)$') UNION ALL SELECT k, 'new/' || path, NULL, '??' FROM trees WHERE path LIKE '%.rs'",
@@ -227,11 +230,11 @@ ORACLE |= {
     "commits_between": _reach(N, where=f"child <> {N // 8}") + f" SELECT DISTINCT node FROM reach WHERE node <> {N // 8} AND EXISTS (SELECT 1 FROM reach WHERE node = {N // 8})",
     "shallow_boundary": _reach(N, M, depth="depth < 4") + " SELECT DISTINCT node FROM reach JOIN edges ON child = node WHERE parent NOT IN (SELECT node FROM reach)",
     "fork_point": _reach(N) + " SELECT node FROM reach JOIN supplier ON s_suppkey = node ORDER BY s_suppkey DESC LIMIT 1",
-    "tree_hierarchy": f"""WITH {TREES}, f AS (SELECT k, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS directory, mode || ' ' || regexp_extract(path, '[^/]*$') || ' ' || blob AS entry FROM trees),
- two AS (SELECT k, directory, sha1(array_to_string(list_sort(list(entry)), chr(10))) AS id, count(*) AS entries FROM f WHERE directory <> '' GROUP BY ALL),
- one AS (SELECT k, split_part(directory, '/', 1) AS directory, sha1(array_to_string(list_sort(list('040000 ' || split_part(directory, '/', 2) || ' ' || id)), chr(10))) AS id, count(*) AS entries FROM two GROUP BY 1, 2),
- top AS (SELECT k, entry FROM f WHERE directory = '' UNION ALL SELECT k, '040000 ' || directory || ' ' || id FROM one)
- SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT k, '' AS directory, sha1(array_to_string(list_sort(list(entry)), chr(10))) AS id, count(*) AS entries FROM top GROUP BY k""",
+    "tree_hierarchy": f"""WITH {TREES}, f AS (SELECT k, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS directory, regexp_extract(path, '[^/]*$') AS key, mode || ' ' || regexp_extract(path, '[^/]*$') || ' ' || blob AS entry FROM trees),
+ two AS (SELECT k, directory, sha1(array_to_string(list(entry ORDER BY key), chr(10))) AS id, count(*) AS entries FROM f WHERE directory <> '' GROUP BY ALL),
+ one AS (SELECT k, split_part(directory, '/', 1) AS directory, sha1(array_to_string(list('040000 ' || split_part(directory, '/', 2) || ' ' || id ORDER BY split_part(directory, '/', 2) || '/'), chr(10))) AS id, count(*) AS entries FROM two GROUP BY 1, 2),
+ top AS (SELECT k, key, entry FROM f WHERE directory = '' UNION ALL SELECT k, directory || '/', '040000 ' || directory || ' ' || id FROM one)
+ SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT k, '' AS directory, sha1(array_to_string(list(entry ORDER BY key), chr(10))) AS id, count(*) AS entries FROM top GROUP BY k""",
     "moved_directory": f"WITH {TREES} SELECT k, CASE WHEN path LIKE 'economy/%' THEN 'archive/' || path ELSE path END AS path FROM trees",
     "pack_order": "SELECT lower(p_type) AS kind, p_partkey AS id, p_size::BIGINT AS size, row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_partkey)::INT AS place FROM part",
     "default_branch": f"WITH {REFS} SELECT min(name) AS name FROM refs WHERE name LIKE 'refs/heads/%'",
@@ -239,3 +242,14 @@ ORACLE |= {
     "refs_after_changes": f"WITH {REFS} SELECT CASE WHEN name LIKE 'refs/heads/nation_1%' AND name <> 'refs/heads/nation_1-0' THEN replace(name, 'nation', 'country') ELSE name END AS name, target_sha AS target FROM refs WHERE name NOT LIKE 'refs/tags/v0.%' UNION ALL SELECT 'refs/heads/main', 'x'",
     "request_status": "SELECT conv_id AS pr, coalesce(arg_min(CASE WHEN turn % 4 = 3 THEN 'merged' END, turn) FILTER (turn % 4 = 3), arg_max(CASE WHEN turn % 4 = 3 THEN 'merged' WHEN turn % 2 = 1 THEN 'closed' ELSE 'open' END, turn)) AS status, count(*) AS updates FROM conversations GROUP BY 1",
 }
+
+ORACLE |= {
+    "size_packing": """WITH RECURSIVE n AS (SELECT p_brand AS brand, p_partkey AS id, p_size::BIGINT AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part),
+ w AS (SELECT brand, id, size, nth, size AS used, 0::BIGINT AS pack FROM n WHERE nth = 1
+ UNION ALL SELECT n.brand, n.id, n.size, n.nth, CASE WHEN w.used + n.size > 120 THEN n.size ELSE w.used + n.size END, w.pack + CASE WHEN w.used + n.size > 120 THEN 1 ELSE 0 END FROM w JOIN n ON n.brand = w.brand AND n.nth = w.nth + 1)
+ SELECT brand, id, size, pack FROM w""",
+    "rate_limit_window": """WITH RECURSIVE h AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS nth FROM events),
+ w AS (SELECT key, id, ms, nth, ms AS opened, 1 AS hits FROM h WHERE nth = 1
+ UNION ALL SELECT h.key, h.id, h.ms, h.nth, CASE WHEN h.ms - w.opened >= 3600000 THEN h.ms ELSE w.opened END, CASE WHEN h.ms - w.opened >= 3600000 THEN 1 ELSE w.hits + 1 END FROM w JOIN h ON h.key = w.key AND h.nth = w.nth + 1)
+ SELECT key, id, ms, hits <= 2 AS allowed FROM w""",
+}

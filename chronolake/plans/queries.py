@@ -73,9 +73,9 @@ simple("protection_verdicts", lambda s, d: access.protection_verdicts(lake.refs(
 
 @query
 def tags_version_sort(s, d):
-    """Tags with their place in version order; the tags of a repository are few enough for one order."""
+    """Tags with their place in version order; names that are equal as versions go by name."""
     tags = lake.refs(s, d).where("name like 'refs/tags/%'").select(text.short_ref(F.col("name")).alias("tag"))
-    return tags.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(text.version_key(F.col("tag")))))
+    return storage.numbered(tags, [text.version_key(F.col("tag")), F.col("tag")], "place")
 
 
 @query
@@ -123,7 +123,7 @@ def reflog_cas(s, d):
 
 
 # graph
-simple("ancestors", lambda s, d: dag.ancestors_of(lake.commit_parents(s, d), [NODE]).select("node"))
+simple("ancestors", lambda s, d: dag.reachable(lake.commit_parents(s, d), [NODE]).select("node"))
 simple("bfs_depth", lambda s, d: dag.ancestors_of(lake.commit_parents(s, d), [NODE, OTHER]))
 simple("first_parent_log", lambda s, d: dag.ancestors_of(lake.commit_parents(s, d), [NODE], first_parent=True).select("node", "depth"))
 simple("shallow_log", lambda s, d: dag.ancestors_of(lake.commit_parents(s, d), [NODE], max_depth=3).select("node", "depth"))
@@ -270,9 +270,7 @@ def _versions(s, d):
 
 
 def _pairs(s, d):
-    old = _versions(s, d)
-    new = old.select("doc_id", F.regexp_replace("text", "(?m)^(The|De|Der|El) .*$", "$1 changed").alias("new"))
-    return old.join(new, "doc_id")
+    return _versions(s, d).withColumn("new", F.regexp_replace("text", "(?m)^(The|De|Der|El) .*$", "$1 changed"))
 
 
 simple("similarity_scores", lambda s, d: lake.read(s, d, "part").select("p_partkey", text.positional_similarity(F.col("p_name"), F.lit("small red widget")).alias("similarity")))
@@ -299,7 +297,7 @@ simple("message_cleanup", lambda s, d: lake.commits(s, d).select("k", messages.c
 simple("message_trailers", lambda s, d: lake.commits(s, d).select("k", messages.trailers(F.concat("message", F.lit("\n\nReviewed-by: "), "author_name", F.lit("\nIssue: "), F.col("k").cast("string"))).alias("t")).select("k", F.col("t")[0]["value"].alias("reviewer"), F.col("t")[1]["value"].alias("issue")))
 simple("refspec_expand", lambda s, d: lake.refs(s, d).select("name", messages.refspec("+refs/heads/*:refs/remotes/up/*", F.col("name")).alias("mapped")).where("mapped is not null"))
 simple("lsn_order", lambda s, d: lake.ref_log(s, d).select("version", messages.lsn(F.col("ts"), F.col("version")).alias("lsn")))
-simple("search_all", lambda s, d: search.search(lake.commits(s, d), lake.refs(s, d), "nation_1", most=1000))
+simple("search_all", lambda s, d: search.search(lake.commits(s, d), lake.refs(s, d), "nation_1"))
 simple("mirror_plan", lambda s, d: search.mirror_plan(lake.refs(s, d).select("name", F.col("target_sha").alias("sha")), lake.refs(s, d).where("target % 3 > 0").select("name", F.when(F.col("target") % 3 == 1, F.col("target_sha")).otherwise("old").alias("sha"))))
 simple("log_page", lambda s, d: search.changes_since(lake.ref_log(s, d), VERSION, 50).select("version", "ref_name", "new_sha"))
 
@@ -333,10 +331,9 @@ def ref_as_of(s, d):
 
 @query
 def bloom_candidates(s, d):
-    """Paths of files that are surely or maybe hot, held exactly after the filter."""
+    """Files of the paths that are hot; Spark may put a run-time filter before the semi-join."""
     hot = lake.files(s, d).groupBy("path").count().where("count > 20").select("path")
-    rows = lake.files(s, d).select("k", "path")
-    return search.maybe_in(rows, "path", search.bloom_words(hot, "path")).join(hot, "path", "left_semi").groupBy("path").agg(F.count("*").alias("files"))
+    return lake.files(s, d).select("k", "path").join(hot, "path", "left_semi").groupBy("path").agg(F.count("*").alias("files"))
 
 
 # more of the graph, trees, refs and requests

@@ -1,6 +1,6 @@
 """All registered queries by name, and their SQL for the oracle."""
 
-from chronolake.plans.oracle import ORACLE
-from chronolake.plans.queries import QUERIES
+from chronolake.plans import lake_rows, logs, oracle, queries, requests, similar
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = queries.QUERIES | lake_rows.QUERIES | logs.QUERIES | requests.QUERIES | similar.QUERIES
+ORACLE = oracle.ORACLE | lake_rows.ORACLE | logs.ORACLE | requests.ORACLE | similar.ORACLE

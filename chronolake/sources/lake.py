@@ -32,6 +32,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("k"), commit_sha(k).alias("sha"), F.sha1(F.concat(F.lit("tree "), k.cast("string")).cast("binary")).alias("tree_sha"), name.alias("author_name"),
         F.concat(F.when(k % 2 == 0, F.upper(name)).otherwise(F.lower(name)), F.lit("@example.com")).alias("author_email"), F.col("o_orderdate").alias("author_date"),
         F.concat(F.col("o_orderpriority"), F.lit("\norder "), k.cast("string")).alias("message"), F.col("o_orderstatus").alias("repository"), parents(k).alias("parents"),
+        F.concat(F.lit("Committer#"), (k % 97).cast("string")).alias("committer_name"), F.concat(F.lit("committer"), (k % 97).cast("string"), F.lit("@example.org")).alias("committer_email"),
+        (F.col("o_orderdate") + F.make_dt_interval(hours=(k % 5).cast("int"))).alias("committer_date"), F.when(k % 11 == 0, F.concat(F.lit("sig "), k.cast("string"))).alias("gpg_signature"),
     )
 
 
@@ -76,6 +78,38 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(name.alias("name"), (s * 7).alias("target"), commit_sha(s * 7).alias("target_sha"), (balance % 10).cast("int").alias("ahead"), (F.floor(balance / 10) % 10).cast("int").alias("behind"))
 
 
+def ref_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """refs with upstreams of branches, and messages and taggers of annotated tags (every third)."""
+    s = (F.col("target") / 7).cast("long")
+    annotated = F.col("name").startswith("refs/tags/") & (s % 3 == 0)
+    return refs(spark, sf_dir).select(
+        "*", F.when(F.col("name").startswith("refs/heads/"), F.regexp_replace("name", "^refs/heads/", "refs/remotes/origin/")).alias("upstream"), F.when(annotated, F.concat(F.lit("Release "), s.cast("string"))).alias("tag_message"),
+        F.when(annotated, F.concat(F.lit("Tagger "), (s % 5).cast("string"))).alias("tagger_name"), F.when(annotated, F.concat(F.lit("tagger"), (s % 5).cast("string"), F.lit("@example.org"))).alias("tagger_email"),
+        F.when(annotated, 1_600_000_000_000 + s % 13 * 86_400_000).alias("tagger_ms"), F.concat(F.lit("repo-"), (s % 4).cast("string")).alias("repository"),
+    )
+
+
+def object_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of objects by sha: (commit, tree) of commits, (tree, blob) of trees, and (tag, object) of tags."""
+    tree_sha = lambda k: F.sha1(F.concat(F.lit("tree "), k.cast("string")).cast("binary"))
+    tops = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), commit_sha(F.col("o_orderkey")).alias("commit"), tree_sha(F.col("o_orderkey")).alias("tree"))
+    entries = files(spark, sf_dir).select(tree_sha(F.col("k")).alias("tree"), F.col("new_blob_sha").alias("blob")).distinct()
+    tags = refs(spark, sf_dir).where("name like 'refs/tags/%'").select(F.sha1(F.concat(F.lit("tag "), "name").cast("binary")).alias("tag"), F.col("target_sha").alias("object"))
+    return tops, entries, tags
+
+
+def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each conversation, with its labels as JSON and the files of the commit with its number."""
+    n = F.col("number")
+    rows = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("number")).agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("author"))
+    status = F.when(n % 5 == 0, "merged").when(n % 5 == 1, "closed").otherwise("open")
+    labels = F.concat(F.lit('["size-'), (F.col("turns") % 3).cast("string"), F.lit('"'), F.when(n % 2 == 0, ',"bug"').otherwise(""), F.lit("]"))
+    return rows.select(
+        "number", F.concat(F.lit("Request "), n.cast("string")).alias("title"), status.alias("status"), F.concat(F.lit("topic-"), n.cast("string")).alias("source_branch"), F.when(n % 3 == 0, "release").otherwise("main").alias("target_branch"),
+        "author", labels.alias("labels"), commit_sha(n).alias("source_sha"), F.when(n % 5 == 0, commit_sha(n + 1)).alias("merge_commit_sha"), (n % 50).alias("k"), "turns",
+    )
+
+
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     people = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("contributor_count"))

@@ -6,6 +6,7 @@ options, checkpoints, and deduplication within a watermark.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -51,23 +52,48 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def pipeline(stream: DataFrame, table: str, dead_letters: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, retries: int = 3) -> StreamingQuery:
+def pipeline(stream: DataFrame, table: str, dead_letters: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, retries: int = 3, first_wait: float = 0.1, most_wait: float = 5.0) -> StreamingQuery:
     """Writes valid events to table and others to dead_letters; available data are taken, then the query ends.
 
     Each batch has a folder of its own that a repeated batch overwrites, so every event is written once.  A
-    batch that fails retries times is written to dead_letters whole, with the error."""
+    batch that fails is tried again after first_wait seconds, twice as long each time up to most_wait; after
+    retries times it is written to dead_letters whole, with the error."""
 
     def write(df: DataFrame, batch: int) -> None:
-        good = df.where(valid())
-        df.where(~valid()).withColumn("error", F.lit("VALIDATION_ERROR")).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch}")
-        for attempt in range(retries):
-            try:
-                rows(good).write.mode("overwrite").parquet(f"{table}/batch={batch}")
-                if on_batch:
-                    on_batch(good, batch)
-                return
-            except Exception as e:
-                if attempt == retries - 1:
-                    good.withColumn("error", F.lit(str(e)[:500])).write.mode("overwrite").parquet(f"{dead_letters}/failed/batch={batch}")
+        df = df.persist()
+        try:
+            good = df.where(valid())
+            df.where(~valid()).withColumn("error", F.lit("VALIDATION_ERROR")).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch}")
+            for attempt in range(retries):
+                try:
+                    rows(good).write.mode("overwrite").parquet(f"{table}/batch={batch}")
+                    if on_batch:
+                        on_batch(good, batch)
+                    return
+                except Exception as e:
+                    if attempt == retries - 1:
+                        good.withColumn("error", F.lit(str(e)[:500])).write.mode("overwrite").parquet(f"{dead_letters}/failed/batch={batch}")
+                    else:
+                        time.sleep(min(most_wait, first_wait * 2**attempt))
+        finally:
+            df.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def metrics(events: DataFrame, size: int) -> DataFrame:
+    """One row: batches of size events by sequence, their events, payload bytes and invalid kinds, and the largest batch."""
+    batch = events.groupBy(F.floor(F.col("sequence") / size).alias("batch")).agg(F.count("*").alias("n"), F.sum(F.octet_length("payload").cast("long")).alias("b"), F.count_if(~F.coalesce(F.col("event_type").isin(KINDS), F.lit(False))).alias("e"))
+    return batch.agg(F.count("*").alias("batches"), F.sum("n").alias("events"), F.sum("b").alias("bytes"), F.sum("e").alias("errors"), F.max("n").alias("largest"))
+
+
+WEBHOOK = "ref string, before string, after string, commits array<struct<id:string,message:string>>, repository struct<full_name:string>, ref_type string, master_branch string, zen string, hook_id long"
+
+
+def webhook_rows(rows: DataFrame, json: str) -> DataFrame:
+    """(name, kind, ref, commits) of rows(name, json): push, create, delete or ping by the shape of the payload; null for others."""
+    p = F.from_json(json, WEBHOOK)
+    rows = rows.select("name", p.alias("p"))
+    has = lambda c: F.col(f"p.{c}").isNotNull()
+    kind = F.when(has("ref") & has("commits"), "push").when(has("ref_type") & has("master_branch"), "create").when(has("ref_type") & has("ref"), "delete").when(has("zen") & has("hook_id"), "ping")
+    return rows.select("name", kind.alias("kind"), F.col("p.ref").alias("ref"), F.when(has("commits"), F.size("p.commits")).otherwise(0).alias("commits"))
