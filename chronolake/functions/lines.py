@@ -265,3 +265,16 @@ def parse_porcelain(text) -> object:
         part("^([0-9a-f]{40}) ").alias("sha"), part(r"^[0-9a-f]{40} \d+ (\d+)").cast("int").alias("line_no"), part("(?m)^author (.*)$").alias("author"), part("(?m)^author-mail <(.*)>$").alias("email"),
         part(r"(?m)^author-time (\d+)$").cast("long").alias("seconds"), part("(?m)^summary (.*)$").alias("summary"), part(r"\n\t([\s\S]*)$").alias("line"),
     )
+
+
+HUNKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("count", T.IntegerType()), T.StructField("lines", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(HUNKS)
+def hunks(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Changed regions of the first text: where each starts (from 0), its lines, and the lines in their place."""
+    found = []
+    for x, y in zip(a, b, strict=True):
+        x, y = _split(x), _split(y)
+        found.append([{"start": i, "count": j - i, "lines": y[p:q]} for i, j, p, q in edits(x, y)])
+    return pd.Series(found)

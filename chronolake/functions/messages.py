@@ -97,3 +97,44 @@ def wrapped(message: Column, width: int = 72) -> Column:
     broken = lambda line: F.regexp_replace(F.regexp_replace(line, rf"(.{{1,{width}}})(?: +|$)", "$1\n"), "\n$", "")
     body = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.when(F.length(x) > width, broken(x)).otherwise(x))
     return F.array_join(F.concat(F.slice(lines, 1, 1), body), "\n")
+
+
+def author_line(line: Column) -> Column:
+    """name, email and milliseconds of `Name <email> seconds zone`, also without the zone; else empty, empty and 0."""
+    form = r"^(.+) <(.+)> (\d+)"
+    part = lambda i: F.regexp_extract(line, form, i)
+    return F.struct(part(1).alias("name"), part(2).alias("email"), F.coalesce(F.nullif(part(3), F.lit("")).cast("long") * 1000, F.lit(0)).alias("ms"))
+
+
+def signature(raw: Column) -> Column:
+    """The signature in a commit's header, its lines joined without their leading space; null without one."""
+    block = F.regexp_extract(raw, r"(?:^|\n)gpgsig ([^\n]*(?:\n [^\n]*)*)", 1)
+    return F.nullif(F.regexp_replace(block, "\n ", "\n"), F.lit(""))
+
+
+def signed(raw: Column, signature: Column) -> Column:
+    """A commit's text with a signature after its header lines; as it is if that is null."""
+    line = F.concat(F.lit("\ngpgsig "), F.regexp_replace(signature, "\n", "\n "), F.lit("\n\n"))
+    at = F.instr(raw, "\n\n")
+    return F.when(signature.isNull() | (at == 0), raw).otherwise(F.concat(F.substr(raw, F.lit(1), at - 1), line, F.substr(raw, at + 2)))
+
+
+def tag_text(target: Column, kind: Column, name: Column, tagger: Column, message: Column) -> Column:
+    """The text of an annotated tag; tagger is `Name <email> seconds zone`."""
+    return F.concat(F.lit("object "), target, F.lit("\ntype "), kind, F.lit("\ntag "), name, F.lit("\ntagger "), tagger, F.lit("\n\n"), message)
+
+
+def tag_fields(raw: Column) -> Column:
+    """target, kind, name, tagger and message of a tag's text; null unless it begins with an object and a type that exists."""
+    header = F.regexp_extract(raw, r"^([\s\S]*?)(?:\n\n|$)", 1)
+    part = lambda who: F.regexp_extract(header, rf"(?m)^{who} (.*)$", 1)
+    fields = F.struct(part("object").alias("target"), part("type").alias("kind"), part("tag").alias("name"), author_line(part("tagger")).alias("tagger"), F.regexp_extract(raw, r"\n\n([\s\S]*)$", 1).alias("message"))
+    return F.when(header.rlike(r"^object [0-9a-f]{40}\ntype (blob|tree|commit|tag)\ntag \S"), fields)
+
+
+def resource(name: Column) -> Column:
+    """kind, left and right of what is asked for: `a..b` or `a...b` a diff, `ref:path` a file, else a commit."""
+    diff, file = name.contains(".."), name.contains(":")
+    left = F.when(diff, F.regexp_extract(name, r"^(.*?)\.\.", 1)).when(file, F.substring_index(name, ":", 1)).otherwise(name)
+    right = F.when(diff, F.regexp_extract(name, r"^.*?\.\.\.?(.*?)(?:\.\.|$)", 1)).when(file, F.regexp_replace(name, "^[^:]*:", ""))
+    return F.struct(F.when(diff, "diff").when(file, "file").otherwise("commit").alias("kind"), F.nullif(left, F.lit("")).alias("left"), F.nullif(right, F.lit("")).alias("right"))

@@ -292,3 +292,28 @@ def shallow_boundary(edges: DataFrame, nodes: list, depth: int) -> DataFrame:
     near = ancestors_of(edges, nodes, max_depth=depth).select("node").distinct()
     inner = edges.join(near, F.col("child") == F.col("node"), "left_semi").select(F.col("child").alias("node"), "parent")
     return inner.join(near.select(F.col("node").alias("parent")), "parent", "left_anti").select("node").distinct()
+
+
+def shallow_since(edges: DataFrame, dates: DataFrame, nodes: list, since: str) -> DataFrame:
+    """Ancestors-or-self of nodes that are met without passing a commit of dates(node, date) before since."""
+    young = dates.where(F.col("date") >= F.lit(since).cast("timestamp")).select("node")
+    kept = edges.join(young.withColumnRenamed("node", "child"), "child", "left_semi").join(young.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent", "ord")
+    return reachable(kept, nodes).select("node").distinct().join(young, "node", "left_semi")
+
+
+def beyond_nearest(edges: DataFrame, a, b) -> DataFrame:
+    """Ancestors-or-self of a and b that the nearest common ones (to b) don't reach."""
+    near = first_common(edges, a, b).select("node")
+    below = Lines(edges).ancestors(near.select(F.col("node").alias("start"), "node")).select("node")
+    return reachable(edges, [a, b]).select("node").distinct().join(below, "node", "left_anti")
+
+
+def recursive_base(edges: DataFrame, a, b) -> DataFrame:
+    """(node): the merge bases of a and b folded with each other until one is left, or none; each round folds the least with all others."""
+    found = Lines(edges)
+    bases = staged(merge_bases(edges, a, b), "bases")
+    while bases.limit(2).count() > 1:
+        least = bases.agg(F.min("node").alias("a"))
+        pairs = bases.join(F.broadcast(least)).where("node <> a").select("a", F.col("node").alias("b"))
+        bases = staged(merge_bases_of(found, pairs).select("node").distinct(), "bases")
+    return bases

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.functions import text
+from chronolake.functions import messages, text
 from chronolake.sources.staging import staged
 
 INLINE_BYTES = 1 << 20
@@ -205,3 +205,47 @@ def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(sha, change) of two indexes(sha): added, removed or unchanged."""
     both = old.select("sha", F.lit(1).alias("o")).join(new.select("sha", F.lit(1).alias("n")), "sha", "full_outer")
     return both.select("sha", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("unchanged").alias("change"))
+
+
+def variant_payloads(objects: DataFrame, inline_bytes: int = INLINE_BYTES, prefix: str = "objects") -> DataFrame:
+    """(sha, storage, payload) of objects(sha, raw): a variant with the key and size of what is stored apart, with the id and
+    size of a large-file pointer as well, and else with the bytes in hexadecimal."""
+    raw, sha = F.col("raw"), F.col("sha")
+    size = F.octet_length(raw).cast("long")
+    pointer = messages.lfs_pointer(F.when(F.octet_length(raw) < 512, raw).cast("string"))
+    mode = F.when(pointer.isNotNull(), "lfs").when(size > inline_bytes, "external").otherwise("inline")
+    rows = objects.select("sha", mode.alias("storage"), size.alias("size"), pointer.alias("pointer"), raw)
+    key = lambda folder, name: F.concat_ws("/", F.lit(folder), F.left(name, F.lit(2)), F.substr(name, F.lit(3)))
+    fields = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items())))
+    json = F.when(F.col("storage") == "lfs", fields(key=key("lfs", F.col("pointer.oid")), oid=F.col("pointer.oid"), size=F.col("pointer.size"), pointer=F.lit(True)))
+    json = json.when(F.col("storage") == "external", fields(key=key(prefix, sha), size=F.col("size"))).otherwise(fields(data=F.lower(F.hex("raw"))))
+    return rows.select("sha", "storage", F.parse_json(json).alias("payload"))
+
+
+def decoded_payloads(rows: DataFrame) -> DataFrame:
+    """(sha, key, size, raw) of variant payloads; raw is null for what is stored apart."""
+    get = lambda path, kind: F.variant_get("payload", path, kind)
+    return rows.select("sha", get("$.key", "string").alias("key"), get("$.size", "long").alias("size"), F.unhex(get("$.data", "string")).alias("raw"))
+
+
+def listed_after(rows: DataFrame, key: str, cursor, most: int) -> DataFrame:
+    """The next page of rows after a cursor, in order of key."""
+    return (rows if cursor is None else rows.where(F.col(key) > F.lit(cursor))).orderBy(key).limit(most)
+
+
+def repacked(objects: DataFrame, group: str, small: int, max_bytes: int) -> DataFrame:
+    """(group, id, size, pack) of the live objects(group, pack, id, size, is_deleted) of packs smaller than small, cut anew; the first of a repeated id."""
+    sizes = objects.groupBy(group, "pack").agg(F.sum("size").alias("whole")).where(F.col("whole") < small).select(group, "pack")
+    live = objects.where("not is_deleted").join(sizes, [group, "pack"], "left_semi").groupBy(group, "id").agg(F.min_by("size", "pack").alias("size"))
+    return packed(live, group, max_bytes)
+
+
+def promotions(reads: DataFrame, policy: str, most_bytes: int | None = None) -> DataFrame:
+    """(key) of reads(key, tier, size) that move to the hot tier: none unless the policy is aggressive, and none that is too large."""
+    found = reads.where((F.col("tier") != "hot") & F.lit(policy == "aggressive"))
+    return (found if most_bytes is None else found.where(F.col("size") <= most_bytes)).select("key").distinct()
+
+
+def migrated(index: DataFrame, moves: DataFrame, to: str) -> DataFrame:
+    """index(key, tier) after moves(key) to a tier."""
+    return index.join(moves.select("key", F.lit(to).alias("moved")).distinct(), "key", "left").select("key", F.coalesce("moved", "tier").alias("tier"))
