@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +147,28 @@ def empty_commits(commits: DataFrame, tree: str = "tree_sha") -> DataFrame:
     """Commits whose tree is that of their first parent."""
     parent = commits.select(F.col("k").alias("p"), F.col(tree).alias("parent_tree"))
     return commits.where(F.size("parents") > 0).withColumn("p", F.col("parents")[0]).join(parent, "p").where(F.col(tree) == F.col("parent_tree")).select("k")
+
+
+def graph_columns(rows: list[tuple[object, list[object]]]) -> list[str]:
+    """For (commit, parents) from the newest on: a line with * in the commit's column and | in those of other open lines."""
+    open_lines: list[object] = []
+    out = []
+    for commit, parents in rows:
+        if commit not in open_lines:
+            open_lines.append(commit)
+        at = open_lines.index(commit)
+        out.append(" ".join("*" if i == at else "|" for i in range(len(open_lines))))
+        open_lines[at : at + 1] = [p for p in parents if p not in open_lines]
+    return out
+
+
+def with_graph(commits: DataFrame, most: int) -> DataFrame:
+    """(place, k, graph) of the newest commits by key, as a page of a log shows them; a page is walked in order in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page = pd.concat(batches, ignore_index=True).sort_values("k", ascending=False, ignore_index=True)
+        graph = graph_columns([(k, list(p)) for k, p in zip(page["k"], page["parents"], strict=True)])
+        yield pd.DataFrame({"place": range(1, len(page) + 1), "k": page["k"], "graph": graph})
+
+    page = commits.select("k", "parents").orderBy(F.desc("k")).limit(most).coalesce(1)
+    return page.mapInPandas(run, "place int, k long, graph string")

@@ -249,3 +249,11 @@ def promotions(reads: DataFrame, policy: str, most_bytes: int | None = None) ->
 def migrated(index: DataFrame, moves: DataFrame, to: str) -> DataFrame:
     """index(key, tier) after moves(key) to a tier."""
     return index.join(moves.select("key", F.lit(to).alias("moved")).distinct(), "key", "left").select("key", F.coalesce("moved", "tier").alias("tier"))
+
+
+def bundle_catalog(events: DataFrame) -> DataFrame:
+    """(bundle, objects, is_sealed, is_deleted) after events(bundle, id, op) record, add, seal and delete: what comes after the first seal or delete adds nothing."""
+    closed = F.min(F.when(F.col("op").isin("seal", "delete"), F.col("id")))
+    ends = events.groupBy("bundle").agg(closed.alias("closed"), F.bool_or(F.col("op") == "seal").alias("is_sealed"), F.bool_or(F.col("op") == "delete").alias("is_deleted"))
+    added = events.where("op = 'add'").join(ends.select("bundle", "closed"), "bundle").where("closed is null or id < closed").groupBy("bundle").agg(F.count("*").alias("n"))
+    return ends.join(added, "bundle", "left").select("bundle", F.coalesce("n", F.lit(0)).alias("objects"), "is_sealed", "is_deleted")

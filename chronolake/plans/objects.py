@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolake.functions import lines, messages, text
-from chronolake.operators import dag, history, ref_log, search, storage
-from chronolake.plans.oracle import _HEADER, COMMITS, EDGES, FILES, LOG, REFS, _reach
+from chronolake.operators import dag, history, ref_log, search, storage, trees
+from chronolake.plans.oracle import _HEADER, COMMITS, EDGES, FILES, LOG, REFS, TREES, _reach
 from chronolake.plans.queries import NODE, OTHER, THIRD, VERSION, _pairs
 from chronolake.sources import lake
 
@@ -73,7 +73,23 @@ def mirrored_both_ways(s, d):
     return pull.join(push, "name", "full_outer").select("name", "pull", "push")
 
 
+def branch_diff(s, d):
+    """The tree of each branch's commit against that of NODE."""
+    t = lake.trees(s, d)
+    tips = lake.refs(s, d).where("name like 'refs/heads/%'").select(F.col("name").alias("branch"), F.col("target").alias("k"))
+    base = tips.select("branch", F.lit(NODE).cast("long").alias("k")).join(t, "k").drop("k")
+    return trees.tree_diff(base, t.join(tips, "k").drop("k"), ["branch"])
+
+
+def bundle_catalog(s, d):
+    op = F.when(F.col("event_type") == "signup", "record").when(F.col("event_type") == "error", "delete").when((F.col("event_type") == "click") & (F.col("event_id") % 40 == 0), "seal").otherwise("add")
+    return storage.bundle_catalog(lake.read(s, d, "events").select(F.floor(F.col("event_id") / 12).alias("bundle"), F.col("event_id").alias("id"), op.alias("op")))
+
+
 QUERIES = {
+    "branch_diff": branch_diff,
+    "bundle_catalog": bundle_catalog,
+    "log_graph": lambda s, d: history.with_graph(lake.commits(s, d), 60),
     "event_payloads": event_payloads,
     "storage_variants": lambda s, d: storage.decoded_payloads(storage.variant_payloads(_stored(s, d), INLINE)).select("sha", "key", "size", F.octet_length("raw").cast("long").alias("inline_bytes")),
     "author_lines": lambda s, d: lake.commits(s, d).select("k", messages.author_line(F.concat("author_name", F.lit(" <"), "author_email", F.when(F.col("k") % 7 == 0, "").otherwise("> "), F.unix_timestamp(F.col("author_date").cast("timestamp")).cast("string"), F.when(F.col("k") % 2 == 0, " +0000").otherwise(""))).alias("a")).select("k", "a.*"),
@@ -105,6 +121,11 @@ _TAG = """t AS (SELECT regexp_replace(name, '^refs/tags/', '') AS tag, target_sh
  r AS (SELECT *, 'object ' || target_sha || chr(10) || 'type ' || kind || chr(10) || 'tag ' || tag || chr(10) || 'tagger T <t@example.org> 1600000000 +0000' || chr(10) || chr(10) || 'Release' || chr(10) || tag AS raw FROM t)"""
 
 ORACLE = {
+    "branch_diff": f"""WITH {TREES}, {REFS}, b AS (SELECT name AS branch, target FROM refs WHERE name LIKE 'refs/heads/%'), o AS (SELECT branch, path, blob, mode FROM b JOIN trees ON k = {NODE}), n AS (SELECT branch, path, blob, mode FROM b JOIN trees ON k = target),
+ j AS (SELECT branch, path, CASE WHEN o.blob IS NULL THEN 'A' WHEN n.blob IS NULL THEN 'D' WHEN o.blob <> n.blob OR o.mode <> n.mode THEN 'M' END AS status, o.blob AS old_blob, n.blob AS new_blob FROM o FULL JOIN n USING (branch, path)) SELECT * FROM j WHERE status IS NOT NULL""",
+    "bundle_catalog": """WITH e AS (SELECT event_id // 12 AS bundle, event_id AS id, CASE WHEN event_type = 'signup' THEN 'record' WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'click' AND event_id % 40 = 0 THEN 'seal' ELSE 'add' END AS op FROM events),
+ c AS (SELECT bundle, min(id) FILTER (op IN ('seal', 'delete')) AS closed, bool_or(op = 'seal') AS is_sealed, bool_or(op = 'delete') AS is_deleted FROM e GROUP BY 1)
+ SELECT c.bundle AS bundle, (SELECT count(*) FROM e WHERE e.bundle = c.bundle AND op = 'add' AND (closed IS NULL OR id < closed)) AS objects, is_sealed, is_deleted FROM c""",
     "event_payloads": "SELECT event_id, sha1(event_id::VARCHAR) AS sha, '6869' || lpad(lower(hex(event_id % 200)), 2, '0') AS data FROM events",
     "storage_variants": f"WITH {_RAWS}, o AS (SELECT DISTINCT sha, octet_length(raw)::BIGINT AS n FROM raws) SELECT sha, CASE WHEN n > {INLINE} THEN 'objects/' || left(sha, 2) || '/' || substring(sha, 3) END AS key, CASE WHEN n > {INLINE} THEN n END AS size, CASE WHEN n <= {INLINE} THEN n END AS inline_bytes FROM o",
     "author_lines": f"WITH {COMMITS} SELECT k, CASE WHEN k % 7 > 0 THEN author_name ELSE '' END AS name, CASE WHEN k % 7 > 0 THEN author_email ELSE '' END AS email, CASE WHEN k % 7 > 0 THEN epoch(author_date)::BIGINT * 1000 ELSE 0 END AS ms FROM commits",

@@ -97,3 +97,9 @@ def webhook_rows(rows: DataFrame, json: str) -> DataFrame:
     has = lambda c: F.col(f"p.{c}").isNotNull()
     kind = F.when(has("ref") & has("commits"), "push").when(has("ref_type") & has("master_branch"), "create").when(has("ref_type") & has("ref"), "delete").when(has("zen") & has("hook_id"), "ping")
     return rows.select("name", kind.alias("kind"), F.col("p.ref").alias("ref"), F.when(has("commits"), F.size("p.commits")).otherwise(0).alias("commits"))
+
+
+def export_stream(stream: DataFrame, table: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Appends a stream's rows, transformed, to a table of Parquet files; available data are taken, then the query ends.  The checkpoint makes every row come once."""
+    rows = transform(stream) if transform else stream
+    return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolake.functions import lines, messages, text
-from chronolake.operators import ref_log, search, storage, trees
+from chronolake.operators import history, ref_log, search, storage, trees
 from chronolake.sources import files, sinks, staging
+from chronolake.streaming import changes
 
 
 def similarity(a, b):
@@ -147,3 +148,16 @@ def test_small_functions(spark):
     row = spark.range(1).select(messages.bloom_false_positive_rate(F.lit(8_000_000), F.lit(7), F.lit(100_000)).alias("p"), messages.back_off_ms(F.lit(3)).alias("w"), messages.back_off_ms(F.lit(9)).alias("m"), messages.tree_order(F.lit("a"), F.lit("040000")).alias("o")).first()
     assert row.p < 1e-6 and (row.w, row.m, row.o) == (800.0, 5000.0, "a/")
     assert staging.staged_counted(spark.range(7), "seven")[2] == 7
+
+
+def test_graph_columns():
+    rows = [("m", ["b", "c"]), ("c", ["a"]), ("b", ["a"]), ("a", [])]
+    assert history.graph_columns(rows) == ["*", "| *", "* |", "*"]
+
+
+def test_stream_export_takes_each_row_once(spark, tmp_path):
+    spark.range(20).repartition(4).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        changes.export_stream(stream, str(tmp_path / "out"), str(tmp_path / "c"), lambda df: df.withColumn("twice", F.col("id") * 2)).awaitTermination()
+    assert sorted(r.twice for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2 * i for i in range(20)]
