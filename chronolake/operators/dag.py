@@ -21,11 +21,15 @@ from chronolake.sources.staging import new_path, removed, staged, staged_counted
 MOST_PARTS = 8
 
 
-def _staged_sum(df: DataFrame, name: str, what) -> tuple[DataFrame, str, int, int]:
-    """A staged table, its path, the sum of what over its rows, and its rows."""
+def _staged_with(df: DataFrame, name: str, found) -> tuple[DataFrame, str, int, int]:
+    """A staged table, its path, an aggregate of its rows (0 without any), and their number."""
     seen, path = Observation(), new_path(df.sparkSession, name)
-    df.observe(seen, F.coalesce(F.sum(what), F.lit(0)).alias("sum"), F.count("*").alias("rows")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get["sum"], seen.get["rows"]
+    df.observe(seen, F.coalesce(found, F.lit(0)).alias("found"), F.count("*").alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get["found"], seen.get["rows"]
+
+
+def _staged_sum(df: DataFrame, name: str, what) -> tuple[DataFrame, str, int, int]:
+    return _staged_with(df, name, F.sum(what))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -39,16 +43,15 @@ def lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, line, place) of nodes(node) for links(node, next), at most one to and from each node; a line is
     named after its last node, whose place is 0.  A cycle raises."""
     state = nodes.join(links, "node", "left").select("node", F.coalesce("next", "node").alias("at"), F.col("next").isNotNull().cast("long").alias("place"))
-    state, path, far, n = _staged_sum(state, "lines", F.col("place"))
-    before = 0
-    while far != before:  # places grow until all have met the ends of their lines
-        before = far
+    state, path, far, n = _staged_with(state, "lines", F.max("place"))
+    step = 1
+    while far == step:  # a place below 2**rounds is final
         ahead = state.where("place > 0").select(F.col("node").alias("at"), F.col("at").alias("beyond"), F.col("place").alias("more"))
         moved = state.join(ahead, "at", "left").select("node", F.coalesce("beyond", "at").alias("at"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
-        last = path
-        state, path, far, _ = _staged_sum(moved, "lines", F.col("place"))
+        last, step = path, 2 * step
+        state, path, far, _ = _staged_with(moved, "lines", F.max("place"))
         removed(nodes.sparkSession, last)
-        if far > n * n:
+        if far > n:
             raise ValueError("the graph has a cycle")
     return state.select("node", F.col("at").alias("line"), "place")
 
