@@ -180,7 +180,8 @@ def _passing(test, percent: int):
 
 def bitmap_of(ids: DataFrame, column: str) -> np.ndarray:
     """Bytes with a bit for each id modulo their number; the words of the map are combined by Spark and 2**MOST_FILTER_BITS bits reach the driver at most."""
-    bits = min(MOST_FILTER_BITS, max(12, (BITS_AN_ID * ids.count()).bit_length()))
+    about = ids.agg(F.approx_count_distinct(column)).first()[0]
+    bits = min(MOST_FILTER_BITS, max(12, (BITS_AN_ID * about).bit_length()))
     at = F.pmod(F.col(column), F.lit(1 << bits))
     word = ids.select((F.shiftright(at, 6)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
     rows = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()

@@ -20,7 +20,7 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Bytes that are hashed at once; bounds the working memory of a task at about 64 times this.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
