@@ -73,17 +73,17 @@ def _shared_out(nodes: DataFrame, parents: list[str], level: str, mix: Mix) -> D
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves(domain, lang, source, tokens) with budget, the tokens to take from each; leaves that get none are left out."""
-    everything = leaves.agg(F.sum("tokens").cast("decimal(20,0)").alias("everything"))
     usable = F.lit(True)
     for level in LEVELS:
         usable = usable & (_weight(level, mix) > 0)
-    leaves = leaves.where(usable).withColumn("cap", F.col("tokens") * mix.most_epochs)
+    leaves = leaves.withColumn("cap", F.when(usable, F.col("tokens") * mix.most_epochs).otherwise(0))
     given = None
     for depth, level in enumerate(LEVELS):
         parents = LEVELS[:depth]
-        nodes = leaves.groupBy(*LEVELS[: depth + 1]).agg(F.sum("cap").alias("cap"))
+        nodes = leaves.groupBy(*LEVELS[: depth + 1]).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         if given is None:
-            nodes = nodes.join(F.broadcast(everything)).withColumn("given", F.expr(f"cast(everything * {mix.percent} div 100 as long)"))  # one row
+            everything = F.sum("tokens").over(Window.partitionBy(F.lit(0))).cast("decimal(20,0)")  # a row for each domain
+            nodes = nodes.withColumn("everything", everything).withColumn("given", F.expr(f"cast(everything * {mix.percent} div 100 as long)"))
         else:
             nodes = nodes.join(given, parents)
         given = _shared_out(nodes, parents, level, mix).select(*LEVELS[: depth + 1], F.col("budget").alias("given"))
