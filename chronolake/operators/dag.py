@@ -44,12 +44,14 @@ def lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
     named after its last node, whose place is 0.  A cycle raises."""
     state = nodes.join(links, "node", "left").select("node", F.coalesce("next", "node").alias("at"), F.col("next").isNotNull().cast("long").alias("place"))
     state, path, far, n = _staged_with(state, "lines", F.max("place"))
+    def doubled(state: DataFrame) -> DataFrame:
+        ahead = state.where("place > 0").select(F.col("node").alias("at"), F.col("at").alias("beyond"), F.col("place").alias("more"))
+        return state.join(ahead, "at", "left").select("node", F.coalesce("beyond", "at").alias("at"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
+
     step = 1
     while far == step:  # a place below 2**rounds is final
-        ahead = state.where("place > 0").select(F.col("node").alias("at"), F.col("at").alias("beyond"), F.col("place").alias("more"))
-        moved = state.join(ahead, "at", "left").select("node", F.coalesce("beyond", "at").alias("at"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
-        last, step = path, 2 * step
-        state, path, far, _ = _staged_with(moved, "lines", F.max("place"))
+        last, step = path, 4 * step
+        state, path, far, _ = _staged_with(doubled(doubled(state)), "lines", F.max("place"))  # two rounds a job
         removed(nodes.sparkSession, last)
         if far > n:
             raise ValueError("the graph has a cycle")
@@ -78,16 +80,19 @@ class Lines:
         first = starts.join(self.places, "node").groupBy("start", "line").agg(F.max("place").alias("upto")).withColumn("below", F.lit(-1).cast("long"))
         state, path, fresh, _ = _staged_sum(first, "reached", (F.col("upto") > F.col("below")).cast("long"))
         while fresh:
-            new = state.where("upto > below").join(self.links, (F.col("line") == F.col("child_line")) & (F.col("child_place") > F.col("below")) & (F.col("child_place") <= F.col("upto")))
-            new = new.groupBy("start", F.col("parent_line").alias("line")).agg(F.max("parent_place").alias("fresh")).withColumn("old", F.lit(None).cast("long"))
-            both = state.select("start", "line", F.col("upto").alias("old")).unionByName(new, allowMissingColumns=True)
-            merged = both.groupBy("start", "line").agg(F.max("old").alias("old"), F.max("fresh").alias("fresh"))
-            merged = merged.select("start", "line", F.greatest("old", "fresh").alias("upto"), F.coalesce("old", F.lit(-1)).cast("long").alias("below"))
             last = path
-            state, path, fresh, _ = _staged_sum(merged, "reached", (F.col("upto") > F.col("below")).cast("long"))
+            state, path, fresh, _ = _staged_sum(self._next(self._next(state)), "reached", (F.col("upto") > F.col("below")).cast("long"))  # two rounds a job
             removed(spark, last)
         return state.select("start", "line", "upto")
 
+    def _next(self, state: DataFrame) -> DataFrame:
+        """(start, line, upto, below) after the links from the places above below, which the round before reached, up to upto."""
+        at = (F.col("line") == F.col("child_line")) & (F.col("child_place") > F.col("below")) & (F.col("child_place") <= F.col("upto"))
+        new = state.where("upto > below").join(self.links, at).select("start", F.col("parent_line").alias("line"), F.lit(None).cast("long").alias("old"), F.col("parent_place").alias("fresh"))
+        both = state.select("start", "line", F.col("upto").alias("old"), F.lit(None).cast("long").alias("fresh")).union(new)
+        merged = both.groupBy("start", "line").agg(F.max("old").alias("old"), F.max("fresh").alias("fresh"))
+        return merged.select("start", "line", F.greatest("old", "fresh").alias("upto"), F.coalesce("old", F.lit(-1)).cast("long").alias("below"))
+
     def ancestors(self, starts: DataFrame) -> DataFrame:
         """(start, node) of all ancestors of starts(start, node), themselves included."""
         found = self.reached(starts).join(self.places, "line").where("place <= upto").select("start", "node")
@@ -99,9 +104,32 @@ def _starts(edges: DataFrame, nodes: list) -> DataFrame:
     return edges.sparkSession.createDataFrame([(n, n) for n in nodes], f"start {kind}, node {kind}")
 
 
+#: Levels that a short search takes in one job, and its jobs; what isn't found by then is found over lines.
+LEVELS_A_JOB, SHORT_JOBS = 4, 4
+
+
+def _short(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """(start, node) of all ancestors of starts(start, node), themselves included, if they end within a few levels; else None."""
+    steps = staged(edges.select("child", "parent").distinct(), "steps")
+    seen, _, _ = staged_counted(starts.select("start", "node").distinct(), "near")
+    frontier = seen
+    for _ in range(SHORT_JOBS):
+        level, levels = frontier, []
+        for _ in range(LEVELS_A_JOB):
+            level = level.join(steps, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
+            levels.append(level)
+        frontier, _, n = staged_counted(_union(levels).distinct().join(seen, ["start", "node"], "left_anti"), "near")
+        if not n:
+            return seen
+        seen = seen.union(frontier)
+    return None
+
+
 def reachable(edges: DataFrame, nodes: list) -> DataFrame:
-    """(start, node) of all ancestors of each of nodes, themselves included."""
-    return staged(Lines(edges).ancestors(_starts(edges, nodes)), "reachable")
+    """(start, node) of all ancestors of each of nodes, themselves included: by a short search, or over lines where history is long."""
+    starts = _starts(edges, nodes)
+    found = _short(edges, starts)
+    return staged(Lines(edges).ancestors(starts), "reachable") if found is None else found
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, first_parent: bool = False) -> DataFrame:
@@ -180,8 +208,13 @@ def merge_bases_of(found: Lines, pairs: DataFrame) -> DataFrame:
 
 def merge_bases(edges: DataFrame, a, b) -> DataFrame:
     """(node): common ancestors of a and b that aren't ancestors of another."""
-    kind = edges.schema["child"].dataType.simpleString()
-    return merge_bases_of(Lines(edges), edges.sparkSession.createDataFrame([(a, b)], f"a {kind}, b {kind}")).select("node")
+    found = _short(edges, _starts(edges, sorted({a, b})))
+    if found is None:
+        kind = edges.schema["child"].dataType.simpleString()
+        return merge_bases_of(Lines(edges), edges.sparkSession.createDataFrame([(a, b)], f"a {kind}, b {kind}")).select("node")
+    common = staged(found.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") == len({a, b})).select("node"), "common")
+    inner = edges.join(common, F.col("child") == F.col("node"), "left_semi").select(F.col("parent").alias("node"))
+    return common.join(inner, "node", "left_anti")
 
 
 def octopus_bases(edges: DataFrame, nodes: list) -> DataFrame:

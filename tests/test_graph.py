@@ -34,7 +34,10 @@ def table(spark, parents):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_closures_equal_plain_walks(spark, seed):
+def test_closures_equal_plain_walks(spark, monkeypatch, seed):
+    """With a short search first, and over lines alone."""
+    if seed == 2:
+        monkeypatch.setattr(dag, "SHORT_JOBS", 0)
     parents = random_graph(seed)
     edges = table(spark, parents)
     nodes = [59, 41, 30]
@@ -42,6 +45,7 @@ def test_closures_equal_plain_walks(spark, seed):
     assert {(r.start, r.node) for r in dag.reachable(edges, nodes).collect()} == {(n, m) for n in nodes for m in reach[n]}
     assert {(r.start, r.node): r.depth for r in dag.ancestors_of(edges, nodes).collect()} == {(n, m): d for n in nodes for m, d in reach[n].items()}
     assert {r.node for r in dag.common_ancestors(edges, nodes).collect()} == set.intersection(*(set(reach[n]) for n in nodes))
+    assert {r.node for r in dag.merge_bases(edges, 59, 41).collect()} == bases(parents, 59, 41)
     pairs = spark.createDataFrame([(a, b) for a in range(0, 60, 7) for b in range(0, 60, 5)], "a long, b long")
     want = {(r.a, r.b) for r in pairs.collect()}
     got = {}
@@ -84,6 +88,6 @@ def test_a_long_line_takes_few_rounds(spark):
 
 def test_cycles_raise(spark):
     ring, tailed = table(spark, {1: [2], 2: [3], 3: [1]}), table(spark, {1: [2], 2: [3], 3: [1], 4: [3]})
-    for run in (lambda: dag.merge_bases(ring, 1, 2), lambda: dag.generations(tailed, dag._nodes(tailed))):
+    for run in (lambda: dag.Lines(ring), lambda: dag.generations(tailed, dag._nodes(tailed))):
         with pytest.raises(ValueError, match="cycle"):
             run()
