@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronolake.functions import lines, messages, text
 from chronolake.operators import dag, history, ref_log, search, storage, trees
 from chronolake.plans.oracle import _HEADER, COMMITS, EDGES, FILES, LOG, REFS, TREES, _reach
-from chronolake.plans.queries import NODE, OTHER, THIRD, VERSION, _pairs
+from chronolake.plans.queries import NODE, OTHER, THIRD, _pairs
 from chronolake.sources import lake
 
 INLINE = 2000

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolake.functions import messages, text
-from chronolake.operators import access, history, ref_changes, ref_log, requests, storage, trees
-from chronolake.plans.oracle import _DIFF, _MOVED, _SHORT, _STATE, CDC, COMMITS, EDGES, FILES, LOG, OBJECTS, ORACLE as BASE, REFS, REVIEWS, TREES, _list
+from chronolake.operators import access, ref_changes, ref_log, requests, storage, trees
+from chronolake.plans.oracle import _MOVED, _SHORT, _STATE, CDC, COMMITS, EDGES, FILES, LOG, OBJECTS, ORACLE as BASE, REFS, REVIEWS, TREES, _list
 from chronolake.plans.queries import SPARSE, VERSION, _accesses, _moved, _sides
 from chronolake.sources import lake, sinks
 from chronolake.streaming import changes
